@@ -238,7 +238,9 @@ def _runs(length: int, gram: int, ranges: int, room: int = 48 << 20):
                 continue
             small = np.concatenate([np.zeros(tail, np.uint32), (codes >> np.uint64(32)).astype(np.uint32), np.zeros(length, np.uint32)])
             key = np.empty((len(at), 2 + tail), ">u4")
-            key[:, 0], key[:, 1] = h >> np.uint64(32), h & np.uint64(0xFFFFFFFF)
+            # anchors have small hashes, being the least of many; mixed again they fill all ranges alike
+            name = mix(h)
+            key[:, 0], key[:, 1] = name >> np.uint64(32), name & np.uint64(0xFFFFFFFF)
             key[:, 2:] = small[tail + at[:, None] + gram + np.arange(tail)]
             # beyond the text's end nothing may look equal
             beyond = at[:, None] + gram + np.arange(tail) >= first[text + 1][:, None]
@@ -385,7 +387,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     live = each.join(common, "h", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("t").alias("u")).agg(F.collect_list("x").alias("x"))
     texts = rows.join(live.hint("shuffle_hash"), (rows["doc_id"] == live["d"]) & (rows["t"] == live["u"])).select("doc_id", "t", "text", "x")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = texts.mapInArrow(_runs(length, gram, ranges), "part int, run binary").repartition(ranges, "part")
+    runs = texts.mapInArrow(_runs(length, gram, ranges), "part int, run binary").repartitionById(ranges, "part")
     spans = runs.mapInArrow(_repeats(length, gram), "doc_id long, t long, lo int, hi int, later boolean")
     by_doc = spans.groupBy("doc_id", "t").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"), F.collect_list("later").alias("later"))
     return by_doc.mapInArrow(_joined, "doc_id long, start_word int, end_word int, later boolean")
