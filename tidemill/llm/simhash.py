@@ -185,14 +185,16 @@ def near_groups(docs: DataFrame, reach: int = REACH) -> DataFrame:
     spark = docs.sparkSession
     prints = cut(fingerprints(docs))
     node = F.struct("a", "b")
-    distinct = prints.select("a", "b").distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # each of these rows becomes hundreds, so its partitions mustn't be joined for being small
+    distinct = prints.select("a", "b").repartition(parts, "a", "b").distinct()
     tables = np.concatenate([masks(reach)] * 2)
     lookup = F.array(*[F.lit(int(m)) for m in tables])
     rows = distinct.select(F.explode(F.array(*[F.lit(t << HALF) for t in range(len(tables))])).alias("t"), "a", "b").select(F.col("t").bitwiseOR(F.col("a")).alias("ta"), "b")
     t = F.shiftright("ta", HALF)
     key = F.xxhash64(t, F.when(t < len(tables) // 2, F.col("ta").bitwiseAND((1 << HALF) - 1)).otherwise(F.col("b")).bitwiseAND(F.element_at(lookup, t.cast("int") + 1)))
     # the key only places rows; it is computed again on arrival and so not sent
-    buckets = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    buckets = rows.repartition(parts, key)
     pairs = buckets.mapInArrow(_edges(reach), "a long, b long, c long, d long")
     edges = pairs.select(F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("u"), F.struct("a", "b").alias("v"))
     labels = components(edges)
