@@ -4,10 +4,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill import catalog
+from tidemill import catalog, demo
+from tidemill.functions.session import get_parameter, set_parameter
 from tidemill.loader import Loader, LoadFailed
 from tidemill.plans.chains import ChainError
-from tidemill.registry import Chain, Registry
+from tidemill.registry import Chain, Locked, Registry
 from tidemill.sources.readers import Functions, Rejected, connection, paged, ranges
 from tidemill.sources.sinks import to_files
 from tidemill.spec import LoadSpec, SourceSpec, SpecError, Status
@@ -182,6 +183,46 @@ def test_chains_groups_and_status(world):
     world.loader.cancel("demo.t")
 
 
+def test_arguments_and_retries(world):
+    got = []
+    world.functions.register("args", lambda c, *a: got.append(a) or world.data)
+    world.registry.add(world.spec.but(load_function="args($load_id, 'it''s, x', plain)"))
+    (r,) = world.loader.load(1)
+    assert got == [(str(r.load_id), "it's, x", "plain")]
+    with pytest.raises(SpecError):
+        world.functions.call("1 + 1; drop", None)
+    tries = []
+
+    def flaky(c):
+        tries.append(1)
+        if len(tries) < 2:
+            raise OSError("once")
+        return world.data
+
+    world.functions.register("data", flaky)
+    world.registry.add(world.spec)
+    world.registry.chains["c"] = Chain("c", "1")
+    assert world.loader.run_chain("c").status is Status.SUCCESS and len(tries) == 2
+    world.registry.lock(0, "chain c")
+    with pytest.raises(Locked):
+        world.loader.run_chain("c")
+
+
+def test_demo(world, spark, tmp_path):
+    (tmp_path / "in.csv").write_text("int_column;text_column;decimal_column;date_column\n1;a;1.50;2024-01-01\n")
+    ids = demo.install(world.loader, str(tmp_path / "in.csv"), rows=500, day=D(2024, 3, 9))
+    assert ids == [1, 2, 3]
+    world.loader.run_group("demo")
+    assert world.store.read("demo.keyed").count() == 500 and world.store.read("demo.files").count() == 1
+    total = world.store.read("demo.grouped").agg(F.sum("decimal_column_sum")).first()[0]
+    assert total == demo.source(spark, 500, D(2024, 3, 9), keys=1000).agg(F.sum("decimal_column")).first()[0]
+    assert len(world.store.partitions("demo.keyed")) == 4
+    demo.uninstall(world.loader)
+    assert world.registry.active("demo") == []
+    set_parameter(spark, "tidemill.x", "1")
+    assert get_parameter(spark, "tidemill.x") == "1" and get_parameter(spark, "tidemill.y") is None
+
+
 def test_dump(world, tmp_path):
     made = catalog.dump(tmp_path / "dump", world.store, world.registry)
     assert "tables/demo.t.sql" in made and "changelog.yaml" in made

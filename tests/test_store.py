@@ -70,6 +70,32 @@ def test_switch_is_validated(store, dated):
     assert store.create_as("copy", store.read("t")) == 2
 
 
+def test_inserts_go_by_position(store, spark, dated):
+    store.create("t", dated((1, None)).schema, "t", "month")
+    assert store.insert("t", spark.sql("select 7 as other, timestamp_ntz'2024-01-01' as names"), where="other = 7") == 1
+    assert store.insert_query("t", "select 8, cast(null as timestamp_ntz)") == 1
+    assert ids(store.read("t")) == [7, 8]
+    with pytest.raises(ValueError):
+        store.insert("t", spark.range(1))
+    assert store.insert_query("t", "select 9, timestamp_ntz'2024-02-01'", truncate=True) == 1
+    assert ids(store.read("t")) == [9]
+    got = {r["column"]: (r["rows"], r["nulls"], r["least"]) for r in store.statistics("t").collect()}
+    assert got["k"] == (1, 0, "9")
+    assert store.describe("t")["partition_key"] == "t" and store.describe("t")["partitions"] == 1
+
+
+def test_default_partition_is_switched(store, dated):
+    store.create("t", dated((1, None)).schema, "t", "month")
+    store.replace("t", dated((1, "2024-01-05"), (2, None)))
+    store.create_like("new", "t")
+    assert store.switch_default("t", "new") is False
+    store.replace("new", dated((5, None)))
+    assert store.switch_default("t", "new") and ids(store.read("t")) == [1, 5]
+    store.replace("new", dated((5, "2024-01-09")))
+    with pytest.raises(ValueError):
+        store.switch_default("t", "new")
+
+
 def test_a_crash_before_the_rename_leaves_the_old_version(store, dated, monkeypatch):
     store.create("t", dated((1, None)).schema)
     store.replace("t", dated((1, None)))

@@ -14,7 +14,7 @@ from .functions.expressions import extent, extract_condition, project
 from .functions.variables import of_run
 from .operators import append, load_partitions, merge, replace_all, update_by_key, upsert
 from .plans import chains
-from .registry import Registry, Run
+from .registry import Locked, Registry, Run
 from .sources.readers import Functions, connection, read_files, read_jdbc
 from .sources.sinks import check as check_export
 from .sources.sinks import exported, to_store
@@ -78,7 +78,7 @@ class Loader:
             return read_jdbc(self.spark, spec, values, run.extraction_from, run.extraction_to)
         if spec.method is Method.PAGED:
             return self.spark.read.format(spec.source.format).options(**connection(spec, values, self.overrides.get(spec.object_id))).load()
-        return self.functions[spec.load_function](Context(self.spark, spec, run, self.store, values))
+        return self.functions.call(spec.load_function, Context(self.spark, spec, run, self.store, values))
 
     def extract(self, spec: LoadSpec, run: Run) -> DataFrame:
         """Staged rows: filtered at the source, transformed, in the target's columns.  Lazy."""
@@ -118,7 +118,7 @@ class Loader:
             self.registry.wait_lock(load_id, spec.name, self.lock_tries, self.lock_pause)
             try:
                 done = self._export(spec, run) if spec.method is Method.EXPORT else self._load(spec, run)
-                if spec.after_load and self.functions[spec.after_load](Context(self.spark, spec, self.registry.run(load_id), self.store)) is not True:
+                if spec.after_load and self.functions.call(spec.after_load, Context(self.spark, spec, done, self.store, of_run(done, spec, self.registry.clock()))) is not True:
                     raise LoadFailed(f"{spec.name}: {spec.after_load} did not return True")
             finally:
                 self.registry.unlock(load_id, spec.name)
@@ -131,7 +131,7 @@ class Loader:
 
     def _load(self, spec: LoadSpec, run: Run) -> Run:
         if spec.method is Method.PYTHON:
-            if self.functions[spec.load_function](Context(self.spark, spec, run, self.store, of_run(run, spec))) is not True:
+            if self.functions.call(spec.load_function, Context(self.spark, spec, run, self.store, of_run(run, spec, self.registry.clock()))) is not True:
                 raise LoadFailed(f"{spec.name}: {spec.load_function} did not return True")
             return self.registry.run(run.load_id)
         rows = self.staged(spec, self.extract(spec, run))
@@ -165,8 +165,11 @@ class Loader:
 
     # -- many objects
 
-    def run_chain(self, name: str, start: datetime | None = None, end: datetime | None = None, workers: int = 3):
-        """Carry out a chain; its run is logged, and in error if one of its objects is."""
+    def run_chain(self, name: str, start: datetime | None = None, end: datetime | None = None, workers: int = 3, retries: int = 1):
+        """Carry out a chain, once at a time; its run is logged, and in error if one of its objects is.
+
+        An object that fails is tried again ``retries`` times.
+        """
         chain = self.registry.chains.get(name)
         if chain is not None and not chain.active:
             raise SpecError(f"chain {name} isn't active")
@@ -175,14 +178,19 @@ class Loader:
         if wrong := set(chains.objects(tree)) - set(self.registry.specs):
             self.registry.instance_error(instance.instance_id)
             raise chains.ChainError(f"unknown objects: {sorted(wrong)}")
+        if not self.registry.lock(instance.instance_id, f"chain {name}", "CHAIN"):
+            self.registry.instance_error(instance.instance_id)
+            raise Locked(f"chain {name} runs already")
         self.registry.instance_in_process(instance.instance_id)
         self.registry.log("INFO", f"start of chain {name}", "chain", instance_id=instance.instance_id)
         try:
-            chains.run(tree, self._pooled(start, end), workers)
+            chains.run(tree, self._pooled(start, end, retries), workers)
         except Exception as e:
             self.registry.log("ERROR", str(e), "chain", instance_id=instance.instance_id)
             self.registry.instance_error(instance.instance_id)
             raise
+        finally:
+            self.registry.unlock(name=f"chain {name}")
         self.registry.log("INFO", f"end of chain {name}", "chain", instance_id=instance.instance_id)
         return self.registry.instance_success(instance.instance_id)
 
@@ -196,12 +204,19 @@ class Loader:
             chains.run(chains.as_lanes(free, workers), work, workers)
         return done + free
 
-    def _pooled(self, start: datetime | None, end: datetime | None):
+    def _pooled(self, start: datetime | None, end: datetime | None, retries: int = 0):
         def work(object_id: int) -> None:
             sc = self.spark.sparkContext
             sc.setLocalProperty("spark.scheduler.pool", f"object-{object_id}")
             sc.setJobGroup(self.registry.spec(object_id).name, f"load of object {object_id}", interruptOnCancel=True)
-            self.load(object_id, start, end)
+            for left in range(retries, -1, -1):
+                try:
+                    self.load(object_id, start, end)
+                    return
+                except Exception as e:
+                    if not left or isinstance(e, SpecError):
+                        raise
+                    self.registry.log("WARN", f"object {object_id} is tried again: {e}", "chain")
 
         return work
 

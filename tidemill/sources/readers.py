@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import datetime
 
@@ -129,5 +130,14 @@ class Functions:
             raise SpecError(f"unknown function {name!r}")
         return self._known[name]
 
+    def call(self, text: str, context) -> object:
+        """Call `name` or `name(a, 'b', $variable)`: the context first, then the arguments as texts, variables replaced."""
+        m = re.fullmatch(r"\s*([\w.]+)\s*(?:\((.*)\))?\s*", text, re.S)
+        if not m:
+            raise SpecError(f"{text!r} names no function")
+        given = re.findall(r"'((?:[^']|'')*)'|([^,'\s][^,']*)", m[2] or "")
+        args = [a.replace("''", "'") if a else b.strip() for a, b in given]
+        return self[m[1]](context, *[expand(a, context.values) for a in args])
+
     def __contains__(self, name: str) -> bool:
         return name in self._known

@@ -135,6 +135,41 @@ class TableStore:
             parts.setdefault(p, []).extend(d)
         self._publish(name, self._next(v, parts))
 
+    def insert(self, name: str, df: DataFrame, where: str | None = None, truncate: bool = False) -> int:
+        """Add rows by position of their columns, not by name; the number of rows.  ``truncate`` replaces all rows."""
+        v = self.version(name)
+        if len(df.columns) != len(v.schema):
+            raise ValueError(f"{name} has {len(v.schema)} columns, the rows {len(df.columns)}")
+        rows = (df.where(where) if where else df).toDF(*v.schema.names)
+        before = 0 if truncate else self.read(name).count()
+        (self.replace if truncate else self.append)(name, rows)
+        return self.read(name).count() - before
+
+    def insert_query(self, name: str, query: str, truncate: bool = False) -> int:
+        return self.insert(name, self.spark.sql(query), truncate=truncate)
+
+    def switch_default(self, name: str, other: str) -> bool:
+        """Put another table's rows in place of the default partition; False, and nothing done, if it has none."""
+        v, rows = self.version(name), self.read(other)
+        if rows.isEmpty():
+            return False
+        if v.field and not rows.where(key(F.col(f"`{v.field}`"), v.period) != DEFAULT).isEmpty():
+            raise ValueError(f"{other} has rows that belong to other partitions of {name}")
+        new = self._write(name, v, rows)
+        self._publish(name, self._next(v, {**v.parts, **new}))
+        return True
+
+    def statistics(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+        """(column, rows, nulls, about how many distinct, least, greatest) in one pass."""
+        df = self.read(name)
+        names = [f.name for f in df.schema if (columns is None or f.name in columns) and isinstance(f.dataType, T.AtomicType)]
+        each = [F.struct(F.lit(n).alias("column"), F.count(F.lit(1)).alias("rows"), F.sum(F.col(f"`{n}`").isNull().cast("long")).alias("nulls"), F.approx_count_distinct(f"`{n}`").alias("distinct"), F.min(f"`{n}`").cast("string").alias("least"), F.max(f"`{n}`").cast("string").alias("greatest")) for n in names]
+        return df.agg(F.array(*each).alias("s")).select(F.inline("s"))
+
+    def describe(self, name: str) -> dict[str, object]:
+        v = self.version(name)
+        return {"format": "parquet", "compression": self.compression, "version": v.number, "partition_key": v.field, "period": v.period, "partitions": len(v.parts), "columns": {f.name: f.dataType.simpleString() for f in v.schema}}
+
     def replace_partitions(self, name: str, df: DataFrame) -> list[str]:
         """Partitions for which ``df`` has rows; the others keep their files.  The names of those replaced."""
         v = self.version(name)
