@@ -515,17 +515,19 @@ def load_windows_safety(spark, d):
 def load_status_view(spark, d):
     import tempfile
 
+    from .files import shared
     from .loader import Loader
     from .registry import Registry, Run
     from .store import TableStore
 
+    # the registry is the driver's alone; nothing in it is read by executors
     reg = Registry(tempfile.mkdtemp(), clock=lambda: ts(2024, 6, 1, 12))
     for i, name, group in ((1, "a", "g"), (2, "b", "g"), (3, "c", "h"), (4, "d", None)):
         reg.add(LoadSpec(i, name, group=group))
     reg.add(LoadSpec(5, "off", group="g", active=False))
     for load_id, obj, status, day in ((10, 1, Status.SUCCESS, 1), (11, 1, Status.ERROR, 1), (12, 3, Status.NEW, 1), (13, 2, Status.NEW, 2)):
         reg._write("runs", load_id, Run(load_id, obj, status, created=ts(2024, 6, day)))
-    return Loader(spark, TableStore(spark, tempfile.mkdtemp()), reg).status().select("object_id", "object_name", "load_group", "load_id", "status_name")
+    return Loader(spark, TableStore(spark, shared(spark, "status")), reg).status().select("object_id", "object_name", "load_group", "load_id", "status_name")
 
 
 _EDGES = [(2, 1), (3, 1), (4, 2), (4, 3), (4, 9)]
@@ -611,14 +613,12 @@ def stream_tumbling(spark, d):
 
 @query("SELECT * FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
 def stream_upsert(spark, d):
-    import tempfile
-
-    from .registry import Registry  # noqa: F401
+    from .files import shared
     from .store import TableStore
     from .streaming import load_stream
 
     e = t(spark, d, "events")
-    root = tempfile.mkdtemp()
+    root = shared(spark, "stream")
     store = TableStore(spark, f"{root}/store")
     spec = LoadSpec(9, "demo.events", "DELTA", "DELTA_UPSERT", ("event_id",), "ts")
     store.create(spec.name, e.schema)

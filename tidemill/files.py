@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the one that the session names in spark.checkpoint.dir, which all executors share.
+
+    Only where the setting is absent, as in tests on one machine, it is a local one.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self._jvm = spark.sparkContext._jvm
