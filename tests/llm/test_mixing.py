@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from conftest_llm import edge_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemill.llm.mixing import budget, keep_mixed, mix, permutation, quotas, sainte_lague
 
@@ -42,6 +43,31 @@ def test_quotas_follow_the_weights():
     assert taken == {"a": 48, "b": 24, "c": 24}
 
 
+def replay(docs, block, shard, seed=11):
+    """Taken (doc_id, text_hash) by dealing, laying out and counting in Python; the hashes come from Spark."""
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text", F.xxhash64("text").alias("h"))
+    rows = rows.withColumn("o", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("h"))).withColumn("d", F.xxhash64(F.lit(seed + 1), "o")).collect()
+    total = Counter()
+    for r in rows:
+        total[r.source] += len((r.text or "").split())
+    streams = defaultdict(list)
+    for r in rows:
+        parts = max(1, -(-total[r.source] // shard))
+        streams[r.source, r.d % parts].append((r.o, r.doc_id, r.h, len((r.text or "").split())))
+    tokens = {k: sum(x[3] for x in v) for k, v in streams.items()}
+    plan = quotas({k: n for k, n in tokens.items() if n}, {}, block)
+    taken = set()
+    for k, (q, n) in plan.items():
+        a, c = permutation(seed, k, n)
+        blocks = {b for b in range(n) if (a * b + c) % n < q}
+        at = 0
+        for _, doc, h, size in sorted(streams[k]):
+            if min(at // block, n - 1) in blocks:
+                taken.add((doc, h))
+            at += size
+    return taken
+
+
 def test_blocks_match_a_replay(docs_of, words):
     rows = [(i, words.text(words.r.randint(1, 60)), "en", f"s{min(words.r.randint(0, 8), 4)}") for i in range(500)]
     docs = docs_of(rows)
@@ -56,6 +82,7 @@ def test_blocks_match_a_replay(docs_of, words):
         shards[r.source] = max(shards[r.source], r.shard)
     assert max(total.values()) < 1.25 * min(total.values())
     assert shards["s4"] > 0
+    assert {(r.doc_id, r.text_hash) for r in got} == replay(docs, 100, 2000)
     kept = sorted(r.doc_id for r in keep_mixed(docs, block=100, shard=2000).collect())
     assert kept == sorted(r.doc_id for r in got)
 
