@@ -102,7 +102,8 @@ def test_partition_loads(dated):
     src = dated((1, "2024-01-06", "x"), (3, "2024-01-07", "moved"))
     got = load_partitions(trg, src, "t")
     assert {r.v for r in got.collect()} == {"x", "moved"}
-    assert {r.v for r in ranges.whole(trg, got, "t").collect()} == {"x", "moved", "c", "d"}
+    assert {r.v for r in ranges.whole(trg, src, "t").collect()} == {"x", "moved", "c", "d"}
+    assert {r.v for r in ranges.whole(trg, src, "t", keys=["k"]).collect()} == {"x", "moved", "b", "c", "d"}
     got = load_partitions(trg, src, "t", keys=["k"])
     assert {r.v for r in got.collect()} == {"x", "moved", "b"}
     assert {r.v for r in load_partitions(trg, src, "t", keys=["k"], global_key=True).collect()} == {"x", "moved", "b", "d"}

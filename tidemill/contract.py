@@ -54,7 +54,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     how = dict(transforms={"month": "date_trunc('month', o_orderdate)", "total": "sum(cast(o_totalprice as decimal(18,2)))", "orders": "count(*)"}, grouping=Grouping(("o_custkey", "month")))
     old = project(orders.where(F.col("o_orderdate") < F.lit(ts(2001, 6, 15))), schema, **how)
     new = project(orders.where(F.col("o_orderdate") >= F.lit(ts(2001, 5, 1))), schema, **how)
-    return ranges.whole(old, load_partitions(old, new, "month", "month", ["o_custkey"]), "month")
+    return ranges.whole(old, new, "month", keys=["o_custkey"])
 
 
 _GROUPED = "SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total, count(*) AS orders FROM orders"
@@ -279,7 +279,7 @@ def column_refresh(spark, d):
     o = t(spark, d, "orders")
     src = o.where("o_orderkey % 6 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"))
     new = refresh_columns(o, src, ["o_orderkey"], ["o_totalprice"])
-    return ranges.whole(o, load_partitions(o, new, "o_orderdate", "month", ["o_orderkey"]), "o_orderdate")
+    return ranges.whole(o, new, "o_orderdate", keys=["o_orderkey"])
 
 
 # -- partitions
@@ -298,20 +298,20 @@ def _months(spark, d):
 @query(f"WITH trg AS ({_OLD_O}), src AS ({_NEW_O}) SELECT * FROM src UNION ALL SELECT * FROM trg WHERE {_M} NOT IN (SELECT {_M} FROM src)")
 def partition_replace(spark, d):
     old, new = _months(spark, d)
-    return ranges.whole(old, load_partitions(old, new, "o_orderdate"), "o_orderdate")
+    return ranges.whole(old, new, "o_orderdate")
 
 
 @query(f"WITH trg AS ({_OLD_O}), src AS ({_NEW_O}) SELECT * FROM src UNION ALL SELECT * FROM trg WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.o_orderkey = trg.o_orderkey AND date_trunc('month', src.o_orderdate) = date_trunc('month', trg.o_orderdate))")
 def partition_merge(spark, d):
     old, new = _months(spark, d)
-    return ranges.whole(old, load_partitions(old, new, "o_orderdate", "month", ["o_orderkey"]), "o_orderdate")
+    return ranges.whole(old, new, "o_orderdate", keys=["o_orderkey"])
 
 
 @query(f"WITH src AS (SELECT * REPLACE (o_orderdate + INTERVAL 1 MONTH AS o_orderdate) FROM orders WHERE o_orderkey % 10 = 0 AND o_orderdate < TIMESTAMP '2001-01-01') SELECT * FROM src UNION ALL SELECT * FROM orders")
 def partition_moved_key(spark, d):
     o = t(spark, d, "orders")
     moved = o.where((F.col("o_orderkey") % 10 == 0) & (F.col("o_orderdate") < F.lit(ts(2001, 1, 1)))).withColumn("o_orderdate", F.expr("o_orderdate + interval 1 month"))
-    return ranges.whole(o, load_partitions(o, moved, "o_orderdate", "month", ["o_orderkey"]), "o_orderdate")
+    return ranges.whole(o, moved, "o_orderdate", keys=["o_orderkey"])
 
 
 @query("WITH src AS (SELECT * REPLACE (o_orderdate + INTERVAL 1 MONTH AS o_orderdate) FROM orders WHERE o_orderkey % 10 = 0 AND o_orderdate < TIMESTAMP '2001-01-01') SELECT * FROM src UNION ALL SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM src)")

@@ -19,7 +19,7 @@ def update_by_query(target: DataFrame, source: DataFrame, keys: Sequence[str], c
     """
     if wrong := set(columns) & set(keys):
         raise ValueError(f"a key isn't updated: {', '.join(sorted(wrong))}")
-    new, names = aside(one_per_key(source, keys, tie_break(source, delta)), target, [*keys, *columns])
+    new, names = aside(one_per_key(source, keys, tie_break(source, delta, keys)), target, [*keys, *columns])
     (hit,) = unused(target, "_hit")
     both = target.join(new.withColumn(hit, F.lit(True)), same(keys, names, null_safe=False), "left")
     taken = lambda c: F.when(F.col(hit), F.col(f"`{names[c]}`").cast(target.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c)

@@ -50,17 +50,17 @@ def sortable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType)) and not (isinstance(kind, T.ArrayType) and not sortable(kind.elementType)) and not (isinstance(kind, T.StructType) and not all(sortable(f.dataType) for f in kind))
 
 
-def tie_break(df: DataFrame, delta: str | None = None, first: Sequence[Column] = (), nulls_last: bool = False) -> list[Column]:
-    """A total order: ``first``, the delta field downward (nulls first unless asked), then all columns downward."""
+def tie_break(df: DataFrame, delta: str | None = None, keys: Sequence[str] = (), nulls_last: bool = False) -> list[Column]:
+    """A total order within a key: the delta field downward (nulls first unless asked), then all other columns downward."""
     down = lambda c: c.desc_nulls_last() if nulls_last else c.desc_nulls_first()
-    rest = [F.col(f"`{f.name}`").desc_nulls_first() for f in df.schema if f.name != delta and sortable(f.dataType)]
-    return [*first, *([down(F.col(f"`{delta}`"))] if delta else []), *rest]
+    rest = [F.col(f"`{f.name}`").desc_nulls_first() for f in df.schema if f.name != delta and f.name not in keys and sortable(f.dataType)]
+    return [*([down(F.col(f"`{delta}`"))] if delta else []), *rest]
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in ``order``; null keys are keys."""
     (n,) = unused(df, "_nth")
-    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order)
+    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*(order or [F.lit(1)]))
     return df.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 

@@ -25,7 +25,7 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], duplicates:
         raise ValueError("duplicates is 'keep' or 'drop'")
     (side,) = unused(target, "_side")
     both = rows.withColumn(side, F.lit(1)).unionByName(target.withColumn(side, F.lit(2)))
-    order = [F.col(side).asc(), *(c for c in tie_break(target, delta))]
+    order = [F.col(side).asc(), *tie_break(target, delta, keys)]
     return one_per_key(both, keys, order).drop(side)
 
 
@@ -38,5 +38,5 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], dedup: boo
     rows = in_order(source if where is None else source.where(where), target)
     rest = without(target, rows, keys)
     if dedup:
-        rows = one_per_key(rows, keys, tie_break(rows, delta, nulls_last=nulls_last))
+        rows = one_per_key(rows, keys, tie_break(rows, delta, keys, nulls_last))
     return rest.unionByName(rows)

@@ -7,12 +7,12 @@ a store puts them in place of the old ones.  All of them are one plan.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import date, datetime, time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.partitions import DEFAULT, key
+from ..plans.partitions import DEFAULT, key, of_value, start_of
 from .common import in_order, unused
 from .merge import merge
 
@@ -23,7 +23,19 @@ class OutOfRange(ValueError):
 
 def touched(source: DataFrame, field: str, period: str) -> list[str]:
     """Partitions that the source has rows for; as many as its calendar periods, not its rows."""
-    return sorted(r[0] for r in source.select(key(field, period).alias("p")).distinct().collect())
+    days = source.select(start_of(F.col(f"`{field}`"), period).alias("p")).distinct().collect()
+    return sorted(DEFAULT if r[0] is None else r[0].isoformat() for r in days)
+
+
+def _inside(field: Column, parts: Sequence[str], period: str) -> Column:
+    """Rows of these partitions, for a scan: a plain range on the date prunes files and row groups, which the derived day can't."""
+    days = sorted(date.fromisoformat(p) for p in parts if p != DEFAULT)
+    own = F.lit(False)
+    if days:
+        end = of_value(datetime.combine(days[-1], time()), period).end
+        lo, hi = datetime.combine(days[0], time()), end
+        own = (field >= F.lit(lo)) & (field < F.lit(hi)) & start_of(field, period).isin(days)
+    return own | field.isNull() if DEFAULT in parts else own
 
 
 def load_partitions(
@@ -39,6 +51,7 @@ def load_partitions(
     out_of_range: str = "default",
     first: datetime | None = None,
     global_key: bool = False,
+    parts: Sequence[str] | None = None,
 ) -> DataFrame:
     """New rows of the partitions touched by the source.
 
@@ -48,7 +61,8 @@ def load_partitions(
     moved leaves its old copy where it was, unless ``global_key``.
 
     Rows with null dates, or before ``first``, raise, are skipped, or go to the
-    default partition, as ``out_of_range`` says.
+    default partition, as ``out_of_range`` says.  ``parts`` saves the look at
+    which partitions the source touches, if that is known.
     """
     if out_of_range not in ("default", "skip", "raise"):
         raise ValueError("out_of_range is 'default', 'skip' or 'raise'")
@@ -60,36 +74,36 @@ def load_partitions(
         rows = rows.where(inside)
     elif out_of_range == "raise" and not rows.where(~F.coalesce(inside, F.lit(False))).isEmpty():
         raise OutOfRange(f"rows without a partition by {field}")
-    (p,) = unused(target, "_part")
-    part = key(F.col(f"`{field}`"), period)
-    if first is not None:
-        part = F.when(F.col(f"`{field}`") < F.lit(first), F.lit(DEFAULT)).otherwise(part)
     if not keys:
-        rows = rows.distinct() if distinct else rows
-        return rows
-    old, new = target.withColumn(p, part), rows.withColumn(p, part)
+        return rows.distinct() if distinct else rows
     if global_key:
-        return merge(old, new, list(keys), duplicates, delta).drop(p)
-    parts = [r[0] for r in new.select(p).distinct().collect()]
-    # a plain range on the date prunes files and row groups, which the derived partition can't
-    dated = sorted(x for x in parts if x != DEFAULT)
-    old = old.where(F.col(p).isin(parts))
-    if dated and DEFAULT not in parts:
-        old = old.where(F.col(f"`{field}`") >= F.lit(dated[0]).cast(target.schema[field].dataType))
-    return merge(old, new, [p, *keys], duplicates, delta).drop(p)
-
-
-def untouched(target: DataFrame, rows: DataFrame, field: str, period: str = "month") -> DataFrame:
-    """Target rows of partitions for which there are no new rows."""
+        return merge(target, rows, list(keys), duplicates, delta)
+    parts = touched(rows, field, period) if parts is None else parts
     (p,) = unused(target, "_part")
-    own = target.withColumn(p, key(F.col(f"`{field}`"), period))
-    new = rows.select(key(F.col(f"`{field}`"), period).alias(p)).distinct()
-    return own.join(new, p, "left_anti").select(*target.columns)
+    c = F.col(f"`{field}`")
+    part = start_of(c, period)
+    if first is not None:
+        part = F.when(c >= F.lit(first), part)
+        old = target.where(_inside(c, parts, period) | (c < F.lit(first)) if DEFAULT in parts else _inside(c, parts, period))
+    else:
+        old = target.where(_inside(c, parts, period))
+    return merge(old.withColumn(p, part), rows.withColumn(p, part), [p, *keys], duplicates, delta).drop(p)
+
+
+def untouched(target: DataFrame, field: str, period: str, parts: Sequence[str]) -> DataFrame:
+    """Target rows outside the partitions."""
+    return target.where(~F.coalesce(_inside(F.col(f"`{field}`"), parts, period), F.lit(False)))
 
 
-def whole(target: DataFrame, rows: DataFrame, field: str, period: str = "month") -> DataFrame:
-    """The table once its touched partitions are replaced by ``rows``."""
-    return untouched(target, rows, field, period).unionByName(rows)
+def whole(target: DataFrame, source: DataFrame, field: str, period: str = "month", **how) -> DataFrame:
+    """The table after ``load_partitions``: what the source doesn't touch, and the new rows of what it does.
+
+    With a global key the new rows are all there is.
+    """
+    if how.get("global_key"):
+        return load_partitions(target, source, field, period, **how)
+    parts = touched(source if how.get("where") is None else source.where(how["where"]), field, period)
+    return untouched(target, field, period, parts).unionByName(load_partitions(target, source, field, period, parts=parts, **how))
 
 
 def swap_default(target: DataFrame, source: DataFrame, field: str, period: str = "month", partitions: Sequence[str] = ()) -> DataFrame:

@@ -78,10 +78,17 @@ def by_value(partitions: Iterable[Partition], value: datetime) -> Partition | No
     return next((p for p in partitions if p.holds(value)), None)
 
 
-def key(column: Column | str, period: str) -> Column:
-    """The start of each row's partition as text, such as 2001-05-01; DEFAULT without a date."""
+def start_of(column: Column | str, period: str) -> Column:
+    """The first day of each row's partition, null without a date; no time zone takes part."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(F.date_format(F.date_trunc(period, c), "yyyy-MM-dd"), F.lit(DEFAULT))
+    if period not in PERIODS:
+        raise ValueError(f"a period is one of {', '.join(PERIODS)}, not {period!r}")
+    return c.cast("date") if period == "day" else F.trunc(c.cast("date"), period)
+
+
+def key(column: Column | str, period: str) -> Column:
+    """The same as text, such as 2001-05-01; DEFAULT without a date."""
+    return F.coalesce(start_of(column, period).cast("string"), F.lit(DEFAULT))
 
 
 def enumerate_days(field: str, pattern: str, start: datetime | None, end: datetime | None) -> list[str]:
