@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import edge_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemill.llm.suffixdedup import anchors, front_code, grams, merge, repeats, shared
+from tidemill.llm.suffixdedup import _runs, anchors, coded, front_code, grams, merge, repeats, shared
 
 
 def brute(rows, length):
@@ -52,6 +53,36 @@ def test_matches_brute_force(docs_of, words, seed, length, gram):
     assert {tuple(x) for x in repeats(docs_of(rows), length, gram).collect()} == want
 
 
+def test_many_tasks_and_ranges(spark, docs_of, words):
+    pool = [words.text(70) for _ in range(5)]
+    rows = [(d, " ".join([words.text(words.r.randint(0, 60)), words.r.choice(pool), words.text(words.r.randint(0, 30))])) for d in range(60)]
+    want = brute(rows, 50)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        assert {tuple(x) for x in repeats(docs_of(rows).repartition(7)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_runs_hold_their_own_range(words):
+    texts = [words.text(300) for _ in range(40)]
+    codes, first = coded(pa.array(texts))
+    at, _, _, _ = anchors(codes, first, 50, 26)
+    text = np.searchsorted(first, at, side="right") - 1
+    x = [(at[text == i] - first[i]).tolist() for i in range(40)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array(texts), pa.array(x, pa.list_(pa.int32()))], ["doc_id", "t", "text", "x"])
+    seen, n = set(), 0
+    for b in _runs(50, 26, 16)(iter([rows])):
+        (part,), (run,) = b.column(0).to_pylist(), b.column(1).to_pylist()
+        keys = [k for _, k, _ in merge([run])]
+        assert keys == sorted(keys) and {int.from_bytes(k[:4], "big") * 16 >> 32 for k in keys} == {part}
+        seen.add(part)
+        n += len(keys)
+    assert len(seen) == 16 and n == len(at)
+
+
 def test_edges(docs_of):
     docs = docs_of(edge_rows(), "t h x d u lo hi part run later")
     got = {tuple(r) for r in repeats(docs).collect()}

@@ -209,6 +209,7 @@ def _runs(length: int, gram: int, ranges: int, room: int = 48 << 20):
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         keys, heads = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        keys = keys.astype(">u4")  # joining has made it the machine's order, in which bytes don't sort as numbers do
         before, who = (np.concatenate([x[i] for x in held]) for i in (2, 3))
         order = np.argsort(keys.view(f"S{keys.shape[1] * 4}").ravel(), kind="stable")
         top = keys[order, 0].astype(np.uint64)
