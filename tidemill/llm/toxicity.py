@@ -79,7 +79,7 @@ class Model:
         for width in WIDTHS:
             answer = 0
             for j in range(width):
-                answer = answer + values[:, col : col + FILTERS][padded[j : size + j]]
+                answer = answer + np.take(np.ascontiguousarray(values[:, col : col + FILTERS]), padded[j : size + j], axis=0)
                 col += FILTERS
             best.append(np.maximum.reduceat(answer, begin, axis=0))
         z = np.maximum(np.concatenate(best, axis=1) + self.bias, 0) @ self.out + self.base
@@ -89,7 +89,7 @@ class Model:
 def _train(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int = 3) -> Model:
     """Adam on batches that are half toxic; the gradient of a maximum goes to the first place that has it."""
     r = np.random.default_rng(seed)
-    p = {"word": r.normal(0, 0.1, (WORDS, DIM)), "head": r.normal(0, 0.1, (HEADS, DIM)), "bias": np.zeros(FILTERS * len(WIDTHS)), "out": r.normal(0, 0.3, FILTERS * len(WIDTHS)), "base": np.zeros(1)}
+    p = {"word": r.normal(0, 0.1, (WORDS, DIM)).astype(np.float32), "head": r.normal(0, 0.1, (HEADS, DIM)).astype(np.float32), "bias": np.zeros(FILTERS * len(WIDTHS)), "out": r.normal(0, 0.3, FILTERS * len(WIDTHS)), "base": np.zeros(1)}
     p |= {f"f{w}": r.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     sides = [np.flatnonzero(toxic == c) for c in (0, 1)]
@@ -104,14 +104,18 @@ def _train(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed:
         for b, i in zip(begin, some):
             word[b : b + len(texts[i][0])], head[b : b + len(texts[i][0])] = texts[i]
             live[b : b + len(texts[i][0])] = True
-        e = ((p["word"][word] + p["head"][head]) * live[:, None]).astype(np.float32)
+        e = np.take(p["word"], word, axis=0)  # far faster than indexing
+        e += np.take(p["head"], head, axis=0)
+        e[~live] = 0
+        text = np.repeat(np.arange(len(some)), n + pad)
         best, where = [], []
         for w in WIDTHS:
             answer = sum(e[j : size + j] @ p[f"f{w}"][j].astype(np.float32) for j in range(w))
             top = np.maximum.reduceat(answer, begin, axis=0)
-            at = np.where(answer == np.repeat(top, n + pad, axis=0), np.arange(size)[:, None], size)
+            place, filt = np.nonzero(answer == np.take(top, text, axis=0))
+            _, first = np.unique(text[place] * FILTERS + filt, return_index=True)
             best.append(top)
-            where.append(np.minimum.reduceat(at, begin, axis=0))
+            where.append(place[first].reshape(len(some), FILTERS))
         pre = np.concatenate(best, axis=1) + p["bias"]
         act = np.maximum(pre, 0)
         y = 1 / (1 + np.exp(-(act @ p["out"] + p["base"][0])))
@@ -130,7 +134,7 @@ def _train(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed:
         use = live[rows]
         for name, index in (("word", word), ("head", head)):
             ids, back = np.unique(index[rows[use]], return_inverse=True)
-            sums = np.zeros((len(ids), DIM))
+            sums = np.zeros((len(ids), DIM), np.float32)
             np.add.at(sums, back, grads[use])
             g[name] = (ids, sums)
         for name, x in p.items():
