@@ -98,7 +98,7 @@ CHAINS = {
     "[1,2,3]": [[1, 2, 3]],
     "[[1]>>[2]]": [[1], [2]],
     "1>>[[2>>3],[4]]": [[1], [[[2], [3]], 4]],
-    "1>>[[596>>597],[598>>612>>613],[600>>610]]": [[1], [[[596], [597]], [[598], [612], [613]], [[600], [610]]]],
+    "9>>[[21>>22],[31>>32>>33],[41>>42]]": [[9], [[[21], [22]], [[31], [32], [33]], [[41], [42]]]],
 }
 
 

@@ -42,7 +42,7 @@ def install(loader: Loader, csv: str | None = None, rows: int = 10_000, day: dat
     store.create("demo.keyed", schema, "date_column", "month", replace=True)
     registry.add(LoadSpec(1, "demo.keyed", "DELTA", "UPDATE_PARTITION", ("int_column",), load_function="demo_source", **common))
     store.create("demo.grouped", grouped, "date_column", "month", replace=True)
-    how = {"decimal_column_sum": "sum(decimal_column)", "timestamp_column": "max(timestamp_column)"}
+    how = dict(timestamp_column="max(timestamp_column)", decimal_column_sum="sum(decimal_column)")
     registry.add(LoadSpec(2, "demo.grouped", "DELTA", "UPDATE_PARTITION", ("int_column",), load_function="demo_grouped", transforms=how, grouping=Grouping(("int_column", "date_column")), **common))
     if csv:
         store.create("demo.files", spark.createDataFrame([], "int_column int, text_column string, decimal_column decimal(10,2), date_column date").schema, replace=True)
