@@ -3,7 +3,8 @@ import pyarrow as pa
 from conftest_llm import edge_rows
 
 from tidemill.llm.common import raw
-from tidemill.llm.digests import BITS, DULL, FILTER, NEAR, POINTS, STEPS, WINDOW, compare, digest, entropy_steps, features, filters, overlap, ranks
+from tidemill.llm.digests import BITS, DULL, FILTER, NEAR, POINTS, STEPS, WINDOW, compare, digest, entropy_steps, features, filters, matches, overlap, ranks
+from tidemill.llm.queries import op6_fingerprints
 
 
 def slow_steps(data):
@@ -74,3 +75,31 @@ def test_edges(docs_of):
         if r.doc_id in (1, 2, 3, 4, 7):
             assert r.n_features == 0
     assert digest(docs.where("false")).count() == 0
+
+
+def test_matches_are_all_pairs_with_a_common_feature(docs_of, words):
+    part, whole = words.text(90), words.text(150)
+    texts = [f"{words.text(60)} {part} {words.text(60)}" for _ in range(9)] + [whole] * 7 + [words.text(80) for _ in range(5)] + [whole + " " + words.text(1500)] * 2
+    rows = list(enumerate(texts)) + [(3, texts[3]), (12, texts[0]), (None, whole), (90, None), (91, "short"), (92, "z" * 300)]
+    docs = docs_of(rows, "h k x y i j p q a b kind features")
+    rank, best = ranks(docs), {}
+    data, off = raw(pa.array([t for _, t in rows]))
+    text, h = features(data, off, rank)
+    own = [h[text == i] for i in range(len(rows))]
+    body = [filters(np.zeros(len(f), np.int64), f, 1)[2].tobytes() for f in own]
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows):
+            if a is not None and b is not None and a < b and np.isin(own[i], own[j]).any():
+                best[a, b] = max(best.get((a, b), 0), overlap(body[i], body[j], len(own[i]), len(own[j])))
+    assert len(best) > 70 and any(s < 100 for s in best.values())
+    for side in (2, 512):
+        got = matches(docs, side=side).collect()
+        assert len(got) == len(best)
+        assert all(abs(best[r.a, r.b] - r.score) < 1e-9 for r in got)
+    assert matches(docs.where("false")).count() == 0
+
+
+def test_query_returns_scored_pairs(spark, docs_of, words, tmp_path):
+    base = words.text(300)
+    docs_of([(1, base), (2, base), (3, words.text(300))]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in op6_fingerprints(spark, str(tmp_path)).collect()] == [(1, 2, 100.0)]

@@ -9,6 +9,11 @@ and after 160 features a further filter is chained on.
 
 Two digests are compared filter by filter: the bits that two filters share,
 less what chance would give, on a scale from 0 to 100.
+
+All pairs with a common feature are found by grouping on the features.  Equal
+texts are compared once for all their documents, features that occur in the
+same texts once for all of them, and the texts of a frequent feature are dealt
+into cells of two blocks, so that every pair meets in a cell of bounded size.
 """
 
 from __future__ import annotations
@@ -17,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, mix, pieces, raw
+from .common import batch, cut, mix, pieces, raw
 
 WINDOW, NEAR, POINTS, STEPS = 64, 64, 16, 1000
 FILTER, FULL, BITS = 256, 160, 5
 #: Windows whose entropy is below this step (runs of one or two bytes) are no features.
 DULL = 100
+#: Texts in a block of a frequent feature, and documents in one of a frequent text.
+SIDE = 512
 _SCALE = 1 << 20
 _N = np.arange(WINDOW + 2)
 _TERM = np.round(np.diff(np.where(_N > 0, _N * np.log2(np.maximum(_N, 1)), 0)) * _SCALE).astype(np.int64)
@@ -202,3 +209,142 @@ def compare(pairs: DataFrame, digests: DataFrame) -> DataFrame:
     side = lambda c: digests.select(F.col("doc_id").alias(c), F.col("digest").alias(f"digest_{c}"), F.col("n_features").alias(f"n_{c}")).dropDuplicates([c])
     both = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
     return both.select("a", "b", similarity("digest_a", "digest_b", "n_a", "n_b").alias("score"))
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_features, digest, features) for each row with an id and a feature."""
+    rank = ranks(docs)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_features", pa.int32()), ("digest", pa.binary()), ("features", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, limit=1 << 20):
+            data, off = raw(part.column("text"))
+            text, h = features(data, off, rank)
+            count, chain, body = filters(text, h, part.num_rows)
+            cuts, ends = (np.append(0, np.cumsum(n)).astype(np.int32) for n in (chain * FILTER, count))
+            blob = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(body.tobytes())])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
+            has = pa.array(np.flatnonzero(count))
+            yield batch(schema, *(c.take(has) for c in (part.column("doc_id"), pa.array(count.astype(np.int32)), blob, lists)))
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_features int, digest binary, features array<long>")
+
+
+def scores(x: np.ndarray, y: np.ndarray, body: np.ndarray, base: np.ndarray, n: np.ndarray, room: int = 1 << 14, alpha: float = 0.3) -> np.ndarray:
+    """``overlap`` of digests x[k] and y[k]; digest d has n[d] features and its filters from row base[d] of ``body``."""
+    chain = -(-n // FULL)
+    swap = (chain[x] > chain[y]) | ((chain[x] == chain[y]) & (n[x] > n[y]))
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    wide = body.view(np.uint64)
+    bits = np.bitwise_count(wide).sum(axis=1, dtype=np.int64)
+    owner = np.repeat(np.arange(len(n)), chain)
+    size = np.minimum(FULL, n[owner] - FULL * (np.arange(len(owner)) - base[owner]))
+    out = np.empty(len(x))
+    cost = chain[x] * chain[y]
+    total = np.cumsum(cost)
+    lo = 0
+    while lo < len(x):
+        if cost[lo] > room:
+            d, e = x[lo], y[lo]
+            out[lo] = overlap(body[base[d] : base[d] + chain[d]].tobytes(), body[base[e] : base[e] + chain[e]].tobytes(), int(n[d]), int(n[e]), alpha)
+            lo += 1
+            continue
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + room, side="right")))
+        c, d = cost[lo:hi], chain[y[lo:hi]]
+        k = np.repeat(np.arange(hi - lo), c)
+        nth = np.arange(len(k)) - np.repeat(np.cumsum(c) - c, c)
+        i, j = base[x[lo:hi]][k] + nth // d[k], base[y[lo:hi]][k] + nth % d[k]
+        e = np.bitwise_count(wide[i] & wide[j]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(bits[i], bits[j]).astype(float)
+        keep = 1 - 1 / (FILTER * 8)
+        chance = FILTER * 8 * (1 - keep ** (BITS * size[i])) * (1 - keep ** (BITS * size[j]))
+        floor = np.minimum(alpha * (most - chance) + chance, most)
+        score = np.where(e > floor, 100 * (e - floor) / np.maximum(most - floor, 1e-9), 0.0)
+        best = np.maximum.reduceat(score, np.flatnonzero(nth % d[k] == 0))
+        rows = chain[x[lo:hi]]
+        out[lo:hi] = np.add.reduceat(best, np.cumsum(rows) - rows) / rows
+        lo = hi
+    return out
+
+
+def _meet(batches: Iterator[pa.RecordBatch], room: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Scored pairs of each cell; rows come sorted by cell."""
+    schema = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("score", pa.float64())])
+
+    def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell = np.stack([part.column(c).to_numpy() for c in ("x", "y", "i", "j")])
+        kind, block, n = (part.column(c).to_numpy() for c in ("kind", "block", "n_features"))
+        n = n.astype(np.int64)
+        blob = part.column("digest").combine_chunks()
+        body = raw(blob)[0].reshape(-1, FILTER)
+        base = np.cumsum(-(-n // FULL)) + n // -FULL
+        first = np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(axis=0)))
+        end = np.repeat(np.append(first[1:], len(n)), np.diff(np.append(first, len(n))))
+        after = end - np.arange(len(n)) - 1
+        total = np.cumsum(after)
+        lo = 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + room, side="right")))
+            c = after[lo:hi]
+            x = np.repeat(np.arange(lo, hi), c)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+            ok = (cell[2][x] == cell[3][x]) | (block[x] != block[y])
+            x, y = x[ok], y[ok]
+            if len(x):
+                yield batch(schema, np.minimum(kind[x], kind[y]), np.maximum(kind[x], kind[y]), scores(x, y, body, base, n))
+            lo = hi
+
+    left: pa.Table | None = None
+    for part in batches:
+        if not part.num_rows:
+            continue
+        now = pa.Table.from_batches([part])
+        now = pa.concat_tables([left, now]) if left is not None else now
+        cell = np.stack([now.column(c).to_numpy() for c in ("x", "y", "i", "j")])
+        # the last cell may go on in the next batch
+        ends = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0))
+        done = int(ends[-1]) + 1 if len(ends) else 0
+        if done:
+            yield from pairs(now.slice(0, done))
+        left = now.slice(done)
+    if left is not None:
+        yield from pairs(left)
+
+
+def _cells(rows: DataFrame, member: str, side: int) -> DataFrame:
+    """``rows`` of groups of k with their block and each cell (i, j) of two blocks that it is part of."""
+    m = F.ceil(F.col("k") / side)
+    out = rows.withColumn("m", m).withColumn("block", F.pmod(F.xxhash64(F.lit(2), member), "m"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    return out.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("m", "k", "other")
+
+
+def matches(docs: DataFrame, side: int = SIDE) -> DataFrame:
+    """(a, b, score), a < b, for every two documents that share a feature; the score is that of ``overlap``, 0 included.
+
+    Rows without id or feature have no pair.  Rows with one id are one
+    document; if their texts differ, its best score counts.  Features and
+    texts with the same features are told by 64 bits of hash.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut(_described(docs).withColumn("kind", F.xxhash64("features")))
+    members = found.select("doc_id", "kind").distinct()
+    w = Window.partitionBy("h")
+    rows = found.select("kind", F.explode("features").alias("h")).repartition(parts, "h").distinct()
+    # features with the same texts have the same count and sums, of which one is enough
+    sums = [F.bit_xor(F.xxhash64(F.lit(n), "kind")).over(w).alias(c) for n, c in ((0, "x"), (1, "y"))]
+    common = rows.select("kind", F.count("*").over(w).alias("k"), *sums).where("k > 1").distinct()
+    bodies = found.select("kind", "n_features", "digest").dropDuplicates(["kind"])
+    cells = _cells(common.join(bodies.hint("merge"), "kind"), "kind", side)
+    cells = cells.repartition(parts, "x", "y", "i", "j").sortWithinPartitions("x", "y", "i", "j")
+    scored = cells.select("x", "y", "i", "j", "kind", "block", "n_features", "digest").mapInArrow(_meet, "p long, q long, score double")
+    scored = scored.groupBy("p", "q").agg(F.max("score").alias("score"))
+    to = lambda kind, c: members.select(F.col("kind").alias(kind), F.col("doc_id").alias(c))
+    apart = scored.join(to("p", "a"), "p").join(to("q", "b"), "q").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    own = members.withColumn("k", F.count("*").over(Window.partitionBy("kind"))).where("k > 1")
+    own = _cells(own, "doc_id", side)
+    one = own.select("kind", "i", "j", F.col("doc_id").alias("a"), F.col("block").alias("_a"))
+    two = own.select("kind", "i", "j", F.col("doc_id").alias("b"), F.col("block").alias("_b"))
+    equal = one.join(two, ["kind", "i", "j"]).where("a < b AND (i = j OR _a <> _b)").select("a", "b", F.lit(100.0).alias("score"))
+    return apart.unionByName(equal).groupBy("a", "b").agg(F.max("score").alias("score"))
