@@ -109,6 +109,17 @@ def test_copies_in_thousands(docs_of, words):
     assert drop_near(docs).count() == 2
 
 
+def test_all_words_count(docs_of, words):
+    short = ["".join(p) for p in itertools.product("abcdefghij", repeat=3)]
+    pick = lambda n: " ".join(words.r.sample(short, n))
+    for n in (2, 5, 300):
+        docs = docs_of([(1, pick(n) + " hello"), (2, pick(n) + " hello"), (3, "hello " + pick(n))])
+        assert near_groups(docs).count() == 0
+    base = pick(300).split()
+    docs = docs_of([(1, " ".join(base) + " hello"), (2, " ".join(base) + " world"), (3, " ".join(base[:150] + ["zzz"] + base[151:]) + " hello")])
+    assert {tuple(r) for r in near_groups(docs).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_words_do_not_depend_on_batches(words):
     texts = [words.text(50), "", None, "tail "]
     _, codes, first, _ = simhash.word_codes(pa.array(texts))

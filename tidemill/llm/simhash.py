@@ -1,7 +1,10 @@
 """Near duplicates by SimHash, found through covering hash tables.
 
 A document's fingerprint has 96 bits: for each bit the signs given by the
-hashes of its longer words are added up, each occurrence once.  The bits form
+hashes of all its words are added up, each occurrence.  A longer word counts
+by itself; a shorter one, as such are common to all texts of a language, with
+the word before it.  In texts with many longer words these count up to three
+times, in others all words count alike.  The bits form
 two halves of 48.  Each half has 2**(r+1)-1 tables, one for each non-zero
 vector v of r+1 bits: every bit position i has a fixed random vector m(i), and
 the table's mask holds the positions with odd <m(i), v>.  Positions in which
@@ -29,8 +32,10 @@ from .common import batch, cut, fresh, hashes, mix, normal, pieces, word_codes
 HALF = 48
 #: Radius within a half; the radius of the whole fingerprint is 2 * REACH + 1 = 13.
 REACH = 6
-#: Words shorter than this count only if a text has no longer ones.
+#: Words shorter than this count together with the word before them.
 LONG_WORD = 5
+#: Texts with so many longer words count each of these once more.
+MANY_LONG = (8, 24)
 _SPREAD = np.array([int.from_bytes(bytes((v >> b) & 1 for b in range(8)), "little") for v in range(256)], np.uint64)
 
 
@@ -72,12 +77,17 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = pc.utf8_length(plain).to_numpy(zero_copy_only=False)
         text = np.repeat(np.arange(part.num_rows), np.diff(first))
         lengths = size[codes] if len(codes) else codes
-        some = np.bincount(text[lengths >= LONG_WORD], minlength=part.num_rows) > 0
-        keep = np.where(some[text], lengths >= LONG_WORD, lengths > 0)
-        count = np.bincount(text[keep], minlength=part.num_rows)
+        keep = lengths > 0
         if not keep.any():
             continue
-        ab = signs(hashes(plain)[codes[keep]], np.append(0, np.cumsum(count)))
+        text, long = text[keep], lengths[keep] >= LONG_WORD
+        h = hashes(plain)[codes[keep]]
+        before = np.append(np.uint64(0), np.where(text[1:] == text[:-1], h[:-1], np.uint64(0)))
+        h = np.where(long, h, mix(h * np.uint64(0x9E3779B97F4A7C15) + before))
+        many = np.bincount(text[long], minlength=part.num_rows)
+        times = np.where(long, 1 + np.searchsorted(MANY_LONG, many, side="right")[text], 1)
+        count = np.bincount(np.repeat(text, times), minlength=part.num_rows)
+        ab = signs(np.repeat(h, times), np.append(0, np.cumsum(count)))
         has = np.flatnonzero(count)
         yield batch(schema, part.column("doc_id").cast(pa.int64()).take(pa.array(has)), ab[has, 0], ab[has, 1])
 
