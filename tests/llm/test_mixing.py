@@ -43,6 +43,19 @@ def test_quotas_follow_the_weights():
     assert taken == {"a": 48, "b": 24, "c": 24}
 
 
+def test_a_scarce_source_does_not_bound_the_others(docs_of, words):
+    tokens = {("", 0): 1} | {(f"s{i}", 0): 10_000 * 4096 for i in range(8)}
+    got = quotas(tokens, {})
+    assert got["", 0] == (1, 1) and sum(q for q, _ in got.values()) >= 40_000
+    assert max(q for q, _ in got.values()) - min(q for k, (q, _) in got.items() if k[0]) <= 1
+    for blocks in (1, 9, 500, 80_001):
+        assert sum(q for q, _ in quotas(tokens, {}, target=blocks * 4096).values()) == blocks
+    assert sum(q for q, _ in quotas(tokens, {}, target=10**12).values()) == 80_001
+    docs = docs_of([(i, words.text(20), "en", f"s{i % 8}") for i in range(400)] + [(900, "one", "en", None)])
+    assert mix(docs, block=100).count() > 150
+    assert mix(docs, block=100, target=10**6).count() == 401
+
+
 def replay(docs, block, shard, seed=11):
     """Taken (doc_id, text_hash) by dealing, laying out and counting in Python; the hashes come from Spark."""
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text", F.xxhash64("text").alias("h"))

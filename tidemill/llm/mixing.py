@@ -28,6 +28,8 @@ SEED = 11
 WEIGHTS: dict[str, float] = {}
 #: The scarcest sources, up to this share of the weight, give all they have and don't limit the others.
 SHORT = 0.1
+#: Blocks are taken for at least this share of all tokens, however scarce a source is.
+LEAST = 0.5
 
 
 def sainte_lague(weights: list[float], seats: int, supply: list[int]) -> list[int]:
@@ -68,15 +70,24 @@ def budget(weights: list[float], supply: list[int], short: float = SHORT) -> int
     return 0
 
 
-def quotas(tokens: dict[tuple[str, int], int], weights: dict[str, float], block: int = BLOCK, short: float = SHORT) -> dict[tuple[str, int], tuple[int, int]]:
-    """(blocks taken, blocks there) for each source and shard."""
+def quotas(tokens: dict[tuple[str, int], int], weights: dict[str, float], block: int = BLOCK, short: float = SHORT, target: int | None = None) -> dict[tuple[str, int], tuple[int, int]]:
+    """(blocks taken, blocks there) for each source and shard.
+
+    ``target`` tokens are taken, or, if it isn't given, what ``budget`` says
+    but no less than LEAST of all.  Seats that a source can't fill go to the
+    others by their weights.
+    """
     there = {k: -(-n // block) for k, n in tokens.items()}
     sources = sorted({s for s, _ in there})
     shards = {s: sorted(k for k in there if k[0] == s) for s in sources}
     supply = [sum(there[k] for k in shards[s]) for s in sources]
     w = [float(weights.get(s, 1.0)) for s in sources]
+    if target is None:
+        total = max(budget(w, supply, short), math.ceil(LEAST * sum(n for n, x in zip(supply, w) if x > 0)))
+    else:
+        total = -(-target // block)
     out = {}
-    for s, seats in zip(sources, sainte_lague(w, budget(w, supply, short), supply)):
+    for s, seats in zip(sources, sainte_lague(w, total, supply)):
         own = [there[k] for k in shards[s]]
         for k, q in zip(shards[s], sainte_lague([float(n) for n in own], seats, own)):
             out[k] = (q, there[k])
@@ -90,9 +101,11 @@ def permutation(seed: int, key: tuple[str, int], n: int) -> tuple[int, int]:
     return a % n, r.randrange(n)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, short: float = SHORT) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, short: float = SHORT, target: int | None = None) -> DataFrame:
     """The documents taken: (doc_id, source, shard, block, n_tokens, text_hash).
 
+    ``target`` is the number of tokens to take, in whole blocks; by default
+    the scarcer sources decide, see ``quotas``.
     A token is a run without white space.  A null source is a source of its
     own, named ''.  Documents without tokens belong to the block where they
     fall and cost nothing; a source without tokens gives none.  The order of
@@ -110,7 +123,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     dealt = slim.join(parts, "source").withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), "parts")).drop("parts")
     found = {(r[0], r[1]): r[2] for r in dealt.groupBy("source", "shard").agg(F.sum("n_tokens")).collect()}
     rows = []
-    for k, (q, n) in quotas({k: n for k, n in found.items() if n}, weights, block, short).items():
+    for k, (q, n) in quotas({k: n for k, n in found.items() if n}, weights, block, short, target).items():
         if q:
             rows.append((*k, q, n, *permutation(seed, k, n)))
     plan = spark.createDataFrame(rows, "source string, shard long, q long, n long, a long, c long")
