@@ -55,6 +55,27 @@ def test_features_match_brute_force(spark, docs_of, words):
             assert all(bits[first[i] + nth // 160, (x >> (11 * k)) & 2047] for k in range(BITS))
 
 
+def test_texts_without_popular_window_have_their_best(docs_of, words):
+    long = words.text(2000)
+    texts = [long[k * 40 : k * 40 + n] for k, n in enumerate(range(120, 221))]
+    rank = ranks(docs_of(list(enumerate([*texts, long]))))
+    text, h = features(*raw(pa.array(texts)), rank)
+    assert set(text.tolist()) == set(range(len(texts)))
+    alone = 0
+    for i, t in enumerate(texts):
+        own = np.frombuffer(t.encode(), np.uint8)
+        want = slow_features(own, rank)
+        if not want:
+            worth = [rank[s] if s >= DULL else 10**6 for s in entropy_steps(own)]
+            points = np.bincount([k + int(np.argmin(worth[k : k + NEAR])) for k in range(len(worth) - NEAR + 1)], minlength=len(worth))
+            want = [min(range(len(worth)), key=lambda k: (-points[k], worth[k], k))]
+            alone += 1
+        places = [t[p : p + WINDOW] for p in want]
+        data, off = raw(pa.array(places))
+        assert features(data, off, rank)[1].tolist() == h[text == i].tolist()
+    assert alone > 15
+
+
 def test_scores(spark, docs_of, words):
     base = words.text(2000)
     rows = [(1, base), (2, base), (3, base[:6000] + words.text(800)), (4, words.text(2000)), (5, "short")]

@@ -4,7 +4,7 @@ Every 64-byte window of a text has an entropy, put on a scale of a thousand
 steps.  How often each step occurs in the whole corpus ranks them: the rarer,
 the more a window says about its text.  In every 64 neighbouring windows the
 rarest, the leftmost of equals, gets a point; windows with 16 points or more
-are features.  Their hashes set five bits each in a Bloom filter of 256 bytes,
+are features, and in a text without such the one with most points.  Their hashes set five bits each in a Bloom filter of 256 bytes,
 and after 160 features a further filter is chained on.
 
 Two digests are compared filter by filter: the bits that two filters share,
@@ -113,9 +113,16 @@ def features(data: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.nd
     at = at[ok]
     new = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else none
     points = np.diff(np.append(new, len(at)))
-    chosen = [at[new][points >= POINTS]] if len(at) else []
-    small = np.flatnonzero((np.diff(off) >= WINDOW) & (np.diff(off) < WINDOW + NEAR - 1))
-    for i in small:
+    place = at[new]
+    chosen = [place[points >= POINTS]] if len(at) else []
+    has = np.zeros(len(off) - 1, bool)
+    if chosen:
+        has[np.searchsorted(off, chosen[0], side="right") - 1] = True
+    for i in np.flatnonzero((np.diff(off) >= WINDOW) & ~has):
+        lo, hi = np.searchsorted(place, (off[i], off[i + 1]))
+        if lo < hi:
+            chosen.append(place[[lo + np.lexsort((worth[place[lo:hi]], -points[lo:hi]))[0]]])
+            continue
         own = worth[off[i] : off[i + 1] - WINDOW + 1]
         best = int(np.argmin(own))
         if own[best] <= STEPS:
@@ -154,7 +161,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
     A digest is its filters of 256 bytes in order.  Texts shorter than 64
     bytes, null, or with dull windows only have no feature and an empty
-    digest; those with fewer than 64 windows have their rarest window as only
+    digest.  Where no window has 16 points, as in texts with fewer than 79
+    windows, the one with most points, of equals the rarest, is the only
     feature.  Features of a text count once.  Null ids and repeated rows have
     digests like others; extra columns are ignored.
     """
