@@ -56,6 +56,14 @@ def test_a_scarce_source_does_not_bound_the_others(docs_of, words):
     assert mix(docs, block=100, target=10**6).count() == 401
 
 
+def test_long_documents_meet_quotas_on_average_only():
+    blocks, given = -(-10 * 400_000 // 4096), []
+    for seed in range(1000):
+        a, c = permutation(seed, ("s", 0), blocks)
+        given.append(sum(400_000 for k in range(10) if (a * (k * 400_000 // 4096) + c) % blocks < 100))
+    assert sum(given) / 1000 == 414_800 and (min(given), max(given), given.count(0)) == (0, 2_800_000, 308)
+
+
 def replay(docs, block, shard, seed=11):
     """Taken (doc_id, text_hash) by dealing, laying out and counting in Python; the hashes come from Spark."""
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text", F.xxhash64("text").alias("h"))

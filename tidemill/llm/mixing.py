@@ -106,6 +106,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 
     ``target`` is the number of tokens to take, in whole blocks; by default
     the scarcer sources decide, see ``quotas``.
+    Quotas are met in blocks; as documents are taken whole, documents of many
+    blocks make the tokens taken right on average only (README has figures).
     A token is a run without white space.  A null source is a source of its
     own, named ''.  Documents without tokens belong to the block where they
     fall and cost nothing; a source without tokens gives none.  The order of
