@@ -10,10 +10,12 @@ and after 160 features a further filter is chained on.
 Two digests are compared filter by filter: the bits that two filters share,
 less what chance would give, on a scale from 0 to 100.
 
-All pairs with a common feature are found by grouping on the features.  Equal
-texts are compared once for all their documents, features that occur in the
-same texts once for all of them, and the texts of a frequent feature are dealt
-into cells of two blocks, so that every pair meets in a cell of bounded size.
+All pairs with a common feature are found by grouping on the features.
+Features that occur in the same documents are looked at once, each document's
+features go once to the place where the sets of a cluster of copies are looked
+at, and the documents of a frequent feature are dealt into cells of two
+blocks.  A pair is put out where its least common set is, so pairs themselves
+are never sent or sorted, however many there are.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ WINDOW, NEAR, POINTS, STEPS = 64, 64, 16, 1000
 FILTER, FULL, BITS = 256, 160, 5
 #: Windows whose entropy is below this step (runs of one or two bytes) are no features.
 DULL = 100
-#: Texts in a block of a frequent feature, and documents in one of a frequent text.
-SIDE = 512
+#: Documents of a feature from which on they are dealt into blocks.
+SIDE = 4096
 _SCALE = 1 << 20
 _N = np.arange(WINDOW + 2)
 _TERM = np.round(np.diff(np.where(_N > 0, _N * np.log2(np.maximum(_N, 1)), 0)) * _SCALE).astype(np.int64)
@@ -220,23 +222,21 @@ def compare(pairs: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_features, digest, features) for each row with an id and a feature."""
+    """(doc_id, texts) for each id that has a feature: the features of each of its different texts."""
     rank = ranks(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_features", pa.int32()), ("digest", pa.binary()), ("features", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, limit=1 << 20):
             data, off = raw(part.column("text"))
             text, h = features(data, off, rank)
-            count, chain, body = filters(text, h, part.num_rows)
-            cuts, ends = (np.append(0, np.cumsum(n)).astype(np.int32) for n in (chain * FILTER, count))
-            blob = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(body.tobytes())])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
+            count = np.bincount(text, minlength=part.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(h.view(np.int64)))
             has = pa.array(np.flatnonzero(count))
-            yield batch(schema, *(c.take(has) for c in (part.column("doc_id"), pa.array(count.astype(np.int32)), blob, lists)))
+            yield batch(schema, part.column("doc_id").take(has), lists.take(has))
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_features int, digest binary, features array<long>")
+    return rows.mapInArrow(run, "doc_id long, features array<long>").groupBy("doc_id").agg(F.collect_set("features").alias("texts"))
 
 
 def scores(x: np.ndarray, y: np.ndarray, body: np.ndarray, base: np.ndarray, n: np.ndarray, room: int = 1 << 14, alpha: float = 0.3) -> np.ndarray:
@@ -276,83 +276,141 @@ def scores(x: np.ndarray, y: np.ndarray, body: np.ndarray, base: np.ndarray, n:
     return out
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists one after the other, and each list's offsets."""
+    whole = column.combine_chunks()
+    off = whole.offsets.to_numpy().astype(np.int64)
+    return whole.values.to_numpy()[off[0] : off[-1]], off - off[0]
+
+
+def _taken(values: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of ``rows`` one after the other, and for each value the row's place in ``rows``."""
+    n = off[rows + 1] - off[rows]
+    owner = np.repeat(np.arange(len(rows)), n)
+    return values[np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(off[rows], n)], owner
+
+
+def _marks(sets: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A row of bits for each of n members: which of the sets that two members or more have are its own."""
+    ids, which, count = np.unique(sets, return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    use = count[which] > 1
+    bits = np.zeros((n, -(-int((count > 1).sum()) // 64)), np.uint64)
+    at = column[which[use]]
+    np.bitwise_or.at(bits, (owner[use], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    return bits
+
+
 def _meet(batches: Iterator[pa.RecordBatch], room: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """Scored pairs of each cell; rows come sorted by cell."""
-    schema = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("score", pa.float64())])
+    """Scored pairs of each place; rows come sorted by place.
+
+    A pair that shares several sets is met in the least of them only: each
+    member knows all of its sets, wherever those are looked at.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
 
     def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell = np.stack([part.column(c).to_numpy() for c in ("x", "y", "i", "j")])
-        kind, block, n = (part.column(c).to_numpy() for c in ("kind", "block", "n_features"))
-        n = n.astype(np.int64)
-        blob = part.column("digest").combine_chunks()
-        body = raw(blob)[0].reshape(-1, FILTER)
+        doc, block, i, j = (part.column(c).to_numpy() for c in ("doc_id", "block", "i", "j"))
+        texts = part.column("texts").combine_chunks()
+        first = texts.offsets.to_numpy().astype(np.int64)
+        lists = texts.values.slice(first[0], first[-1] - first[0])
+        first = first - first[0]
+        h, h_off = _lists(pa.chunked_array([lists]))
+        n = np.diff(h_off)
+        body = filters(np.repeat(np.arange(len(n)), n), h.view(np.uint64), len(n))[2].reshape(-1, FILTER)
         base = np.cumsum(-(-n // FULL)) + n // -FULL
-        first = np.flatnonzero(np.append(True, (cell[:, 1:] != cell[:, :-1]).any(axis=0)))
-        end = np.repeat(np.append(first[1:], len(n)), np.diff(np.append(first, len(n))))
-        after = end - np.arange(len(n)) - 1
-        total = np.cumsum(after)
-        lo = 0
-        while lo < len(n):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + room, side="right")))
-            c = after[lo:hi]
-            x = np.repeat(np.arange(lo, hi), c)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
-            ok = (cell[2][x] == cell[3][x]) | (block[x] != block[y])
-            x, y = x[ok], y[ok]
-            if len(x):
-                yield batch(schema, np.minimum(kind[x], kind[y]), np.maximum(kind[x], kind[y]), scores(x, y, body, base, n))
-            lo = hi
-
-    left: pa.Table | None = None
+        several = np.diff(first) > 1
+
+        def best(x: int, y: int) -> float:
+            """Of two ids with several texts, the best score of texts that share a feature."""
+            u, v = (c.ravel() for c in np.meshgrid(np.arange(first[x], first[x + 1]), np.arange(first[y], first[y + 1])))
+            met = [np.isin(h[h_off[p] : h_off[p + 1]], h[h_off[q] : h_off[q + 1]]).any() for p, q in zip(u, v)]
+            return float(scores(u[met], v[met], body, base, n).max())
+
+        every, e_off = _lists(part.column("every"))
+        own, o_off = _lists(part.column("own"))
+        place = np.cumsum(np.append(False, _differ(part)))
+        who = np.repeat(np.arange(len(doc)), np.diff(o_off))
+        order = np.lexsort((who, own, place[who]))
+        own, who = own[order], who[order]
+        start = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (place[who][1:] != place[who][:-1])))
+        for lo, hi in zip(start, np.append(start[1:], len(own))):
+            rows = who[lo:hi]
+            if len(rows) < 2:
+                continue
+            sets, owner = _taken(every, e_off, rows)
+            less = sets < own[lo]
+            bits = _marks(sets[less], owner[less], len(rows))
+            after = len(rows) - 1 - np.arange(len(rows))
+            total = np.cumsum(after)
+            at = 0
+            while at < len(rows):
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + room, side="right")))
+                c = after[at:end]
+                x = np.repeat(np.arange(at, end), c)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+                ok = (i[rows[0]] == j[rows[0]]) | (block[rows][x] != block[rows][y])
+                for k in range(bits.shape[1]):
+                    ok &= (bits[x, k] & bits[y, k]) == 0
+                x, y = rows[x[ok]], rows[y[ok]]
+                if len(x):
+                    score = scores(first[x], first[y], body, base, n)
+                    for k in np.flatnonzero(several[x] | several[y]):
+                        score[k] = best(x[k], y[k])
+                    yield batch(schema, np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), score)
+                at = end
+
+    left: list[pa.RecordBatch] = []
     for part in batches:
         if not part.num_rows:
             continue
-        now = pa.Table.from_batches([part])
-        now = pa.concat_tables([left, now]) if left is not None else now
-        cell = np.stack([now.column(c).to_numpy() for c in ("x", "y", "i", "j")])
-        # the last cell may go on in the next batch
-        ends = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0))
-        done = int(ends[-1]) + 1 if len(ends) else 0
-        if done:
-            yield from pairs(now.slice(0, done))
-        left = now.slice(done)
-    if left is not None:
-        yield from pairs(left)
-
-
-def _cells(rows: DataFrame, member: str, side: int) -> DataFrame:
-    """``rows`` of groups of k with their block and each cell (i, j) of two blocks that it is part of."""
-    m = F.ceil(F.col("k") / side)
-    out = rows.withColumn("m", m).withColumn("block", F.pmod(F.xxhash64(F.lit(2), member), "m"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    return out.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("m", "k", "other")
+        now = pa.Table.from_batches([*left[-1:], part])
+        ends = np.flatnonzero(_differ(now)) + 1 - (left[-1].num_rows if left else 0)
+        # the last place may go on in the next batch
+        done = int(ends[-1]) if len(ends) else 0
+        if len(ends):
+            yield from pairs(pa.Table.from_batches([*left, part.slice(0, done)]))
+            left = []
+        if done < part.num_rows:
+            left.append(part.slice(done))
+    if left:
+        yield from pairs(pa.Table.from_batches(left))
+
+
+def _differ(rows: pa.Table) -> np.ndarray:
+    """Whether each row but the first is of another place than the one before."""
+    place = np.stack([rows.column(c).to_numpy() for c in ("label", "m", "i", "j")])
+    return (place[:, 1:] != place[:, :-1]).any(axis=0)
 
 
 def matches(docs: DataFrame, side: int = SIDE) -> DataFrame:
     """(a, b, score), a < b, for every two documents that share a feature; the score is that of ``overlap``, 0 included.
 
-    Rows without id or feature have no pair.  Rows with one id are one
-    document; if their texts differ, its best score counts.  Features and
-    texts with the same features are told by 64 bits of hash.
+    Rows without id or feature have no pair, and no documents give none.  Rows
+    with one id are one document; if their texts differ, its best score counts.
+    Texts are read whole; ties don't matter, as every pair is scored.  Extra
+    columns are ignored.
+
+    Features with the same documents are one set.  A set is looked at in one
+    place, or, if it has more than ``side`` documents, in one for each two of
+    its blocks.  A set's place is named after the largest set like it of one of
+    its documents, so that sets of one cluster of copies meet in one place
+    and a document's features are sent there once for all of them.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(_described(docs).withColumn("kind", F.xxhash64("features")))
-    members = found.select("doc_id", "kind").distinct()
+    found = cut(_described(docs))
     w = Window.partitionBy("h")
-    rows = found.select("kind", F.explode("features").alias("h")).repartition(parts, "h").distinct()
-    # features with the same texts have the same count and sums, of which one is enough
-    sums = [F.bit_xor(F.xxhash64(F.lit(n), "kind")).over(w).alias(c) for n, c in ((0, "x"), (1, "y"))]
-    common = rows.select("kind", F.count("*").over(w).alias("k"), *sums).where("k > 1").distinct()
-    bodies = found.select("kind", "n_features", "digest").dropDuplicates(["kind"])
-    cells = _cells(common.join(bodies.hint("merge"), "kind"), "kind", side)
-    cells = cells.repartition(parts, "x", "y", "i", "j").sortWithinPartitions("x", "y", "i", "j")
-    scored = cells.select("x", "y", "i", "j", "kind", "block", "n_features", "digest").mapInArrow(_meet, "p long, q long, score double")
-    scored = scored.groupBy("p", "q").agg(F.max("score").alias("score"))
-    to = lambda kind, c: members.select(F.col("kind").alias(kind), F.col("doc_id").alias(c))
-    apart = scored.join(to("p", "a"), "p").join(to("q", "b"), "q").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
-    own = members.withColumn("k", F.count("*").over(Window.partitionBy("kind"))).where("k > 1")
-    own = _cells(own, "doc_id", side)
-    one = own.select("kind", "i", "j", F.col("doc_id").alias("a"), F.col("block").alias("_a"))
-    two = own.select("kind", "i", "j", F.col("doc_id").alias("b"), F.col("block").alias("_b"))
-    equal = one.join(two, ["kind", "i", "j"]).where("a < b AND (i = j OR _a <> _b)").select("a", "b", F.lit(100.0).alias("score"))
-    return apart.unionByName(equal).groupBy("a", "b").agg(F.max("score").alias("score"))
+    rows = found.select("doc_id", F.explode(F.array_distinct(F.flatten("texts"))).alias("h")).repartition(parts, "h")
+    shared = rows.select("doc_id", F.count("*").over(w).alias("k"), F.bit_xor(F.xxhash64("doc_id")).over(w).alias("x")).where("k > 1")
+    sets = shared.repartition(parts, "doc_id").groupBy("doc_id", "k", "x").agg(F.lit(1).alias("_")).drop("_")
+    sets = sets.withColumn("m", F.when(F.col("k") <= side, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("k") / side)))).cast("long"))
+    sets = sets.withColumn("top", F.max(F.struct("k", "x")).over(Window.partitionBy("doc_id", "m")))
+    label = F.min_by(F.xxhash64("top"), F.xxhash64(F.lit(3), "doc_id")).over(Window.partitionBy("k", "x"))
+    named = sets.withColumn("label", label).withColumn("block", F.pmod(F.xxhash64(F.lit(2), "doc_id"), "m"))
+    named = named.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    named = named.select("doc_id", "x", "label", "m", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    place = ["label", "m", "i", "j"]
+    own = named.repartition(parts, "doc_id").groupBy("doc_id", "block", *place).agg(F.collect_list("x").alias("own"))
+    every = sets.groupBy("doc_id").agg(F.collect_list("x").alias("every"))
+    members = own.join(every, "doc_id").join(found, "doc_id").repartition(parts, *place).sortWithinPartitions(*place)
+    return members.select(*place, "doc_id", "block", "own", "every", "texts").mapInArrow(_meet, "a long, b long, score double")
