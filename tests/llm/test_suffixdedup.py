@@ -7,7 +7,7 @@ from conftest_llm import edge_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemill.llm.suffixdedup import _runs, anchors, coded, front_code, grams, merge, repeats, shared
+from tidemill.llm.suffixdedup import _repeats, _runs, anchors, coded, front_code, grams, merge, repeats, shared
 
 
 def brute(rows, length):
@@ -112,3 +112,37 @@ def test_every_run_has_one_anchor(symbols):
     assert starts == list(range(max(0, len(symbols) - 8)))
     g = grams(codes, 4)
     assert all(h[i] == g[at[i]] for i in range(len(at)))
+
+
+def test_what_is_held_does_not_grow_with_copies(words):
+    """One passage in very many documents: the suffixes of a range are merged in bounded memory."""
+    import tracemalloc
+
+    texts = [words.text(120)]
+    codes, first = coded(pa.array(texts))
+    at, _, _, _ = anchors(codes, first, 50, 26)
+
+    def runs(lo, hi):
+        for k in range(lo, hi, 500):
+            n = min(500, hi - k)
+            yield pa.RecordBatch.from_arrays([pa.array(range(k, k + n), pa.int64()), pa.array([7] * n, pa.int64()), pa.array(texts * n), pa.array([at.tolist()] * n, pa.list_(pa.int32()))], ["doc_id", "t", "text", "x"])
+
+    def peak(copies):
+        made = [b for lo in range(0, copies, 2000) for b in _runs(50, 26, 1)(runs(lo, min(copies, lo + 2000)))]
+        tracemalloc.start()
+        covered = {}
+        for b in _repeats(50, 26)(iter(made)):
+            for d, lo, hi, again in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lo", "hi", "later"))):
+                covered.setdefault((d, again), []).append((lo, hi)) if d < 3 else None
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, covered, sum(len(r) for b in made for r in b.column(1).to_pylist() if not b.column(2)[0].as_py())
+
+    few, _, small = peak(2000)
+    many, covered, size = peak(40000)
+    assert set(covered) == {(0, False), (1, True), (2, True)}
+    for spans in covered.values():
+        spans.sort()
+        assert spans[0][0] == 0 and max(h for _, h in spans) == 120 and all(b[0] <= a[1] for a, b in zip(spans, spans[1:]))
+    # of a task's copies two are sent; 20 times the copies give 20 times the tasks' runs and no more
+    assert size <= 20 * small and many < few + (24 << 20)

@@ -18,10 +18,17 @@ The receiving task merges the runs with a tree of losers that knows how much
 each candidate shares with the last suffix put out, and so compares symbols
 only beyond what is shared.  The shared lengths it puts out give, for each
 number of words before the anchor, the groups of suffixes with equal runs.
+
+Suffixes that are equal, with equal words before them too, are copies: the
+first place of such and one other are enough to tell what repeats, so the
+rest are put out at once, by the task that sorts or by the one that merges,
+and what a task holds doesn't grow with the number of copies.
 """
 
 from __future__ import annotations
 
+import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +42,7 @@ from .common import batch, cut, hashes, mix, pieces, word_codes
 LENGTH = 50
 GRAM = 26
 _ODD = 0x9E3779B97F4A7C15
+_SPANS = np.dtype([("doc_id", "i8"), ("t", "i8"), ("lo", "i4"), ("hi", "i4")])
 
 
 def grams(codes: np.ndarray, k: int) -> np.ndarray:
@@ -202,9 +210,21 @@ def merge(runs: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
         winner = cand
 
 
+def place(head: bytes) -> tuple[int, int, int]:
+    """doc_id, text hash and position of a suffix, in the order in which one is the first."""
+    return struct.unpack_from("=qqI", head)
+
+
+def span(head: bytes, length: int) -> bytes:
+    """The words of all runs that a suffix's anchor has, for one that isn't the first of its like."""
+    doc, t, at = struct.unpack_from("=qqI", head)
+    (least,) = struct.unpack_from("=I", head, 20)
+    return struct.pack("=qqii", doc, t, at - (len(head) - 24) // 4, at - least + length)
+
+
 def _runs(length: int, gram: int, ranges: int, room: int = 48 << 20):
     """Sorted, front-coded runs of a task's suffixes, a row for each range; a full task starts new ones."""
-    schema = pa.schema([("part", pa.int32()), ("run", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("copies", pa.bool_())])
     tail = length - gram
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -219,10 +239,34 @@ def _runs(length: int, gram: int, ranges: int, room: int = 48 << 20):
         hsize = heads.shape[1] * 4
         for p in range(ranges):
             own = order[cuts[p] : cuts[p + 1]]
-            if len(own):
-                k = [raw_keys[size * i : size * (i + 1)] for i in own]
-                hd = [who[i].tobytes() + raw_heads[hsize * (i + 1) - 4 * int(before[i]) : hsize * (i + 1)] for i in own]
-                yield batch(schema, np.array([p], np.int32), pa.array([front_code(k, hd)], pa.binary()))
+            if not len(own):
+                continue
+            k: list[bytes] = []
+            hd: list[bytes] = []
+            copies: list[bytes] = []
+            seen: dict[bytes, list[int]] = {}
+            for i in own.tolist():
+                key = raw_keys[size * i : size * (i + 1)]
+                head = who[i].tobytes() + raw_heads[hsize * (i + 1) - 4 * int(before[i]) : hsize * (i + 1)]
+                if k and key != k[-1]:
+                    seen = {}
+                have = seen.setdefault(head[20:], [])
+                if any(hd[j][:20] == head[:20] for j in have):
+                    continue
+                if len(have) == 2:
+                    j = have[0]
+                    if place(head) < place(hd[j]):
+                        head, hd[j] = hd[j], head
+                    copies.append(span(head, length))
+                    continue
+                if have and place(head) < place(hd[have[0]]):
+                    hd[have[0]], head = head, hd[have[0]]
+                have.append(len(hd))
+                k.append(key)
+                hd.append(head)
+            yield batch(schema, np.array([p], np.int32), pa.array([front_code(k, hd)], pa.binary()), [False])
+            if copies:
+                yield batch(schema, np.array([p], np.int32), pa.array([b"".join(copies)], pa.binary()), [True])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -265,32 +309,60 @@ def _runs(length: int, gram: int, ranges: int, room: int = 48 << 20):
 
 
 def _repeats(length: int, gram: int):
-    """Merges the runs of a range; puts out (doc_id, t, lo, hi, later) for word ranges that repeat."""
+    """Merges the runs of a range; puts out (doc_id, t, lo, hi, later) for word ranges that repeat.
+
+    Of suffixes with equal words on both sides one is held, whatever their number.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("later", pa.bool_())])
     tail = length - gram
 
-    def groups(rows: Iterator[tuple[int, bytes, bytes]]) -> Iterator[tuple[list[int], list[bytes]]]:
-        """Suffixes whose first symbol is shared, 4096 or more at once if groups are small."""
-        lcps: list[int] = []
-        heads: list[bytes] = []
+    def later(spans: bytes) -> pa.RecordBatch:
+        x = np.frombuffer(spans, _SPANS)
+        return batch(schema, *(np.ascontiguousarray(x[c]) for c in _SPANS.names), np.ones(len(x), bool))
+
+    def groups(rows: Iterator[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        """What is found among suffixes whose first symbol is shared, 4096 or more at once if groups are small."""
+        lcps, most, many, heads, copies = array("B"), array("B"), bytearray(), bytearray(), bytearray()
+        seen: dict[bytes, int] = {}
         for n, _, head in rows:
-            if n < 2 and len(lcps) >= 4096:
-                yield lcps, heads
-                lcps, heads = [], []
-            lcps.append(n)
-            heads.append(head)
-        if lcps:
-            yield lcps, heads
-
-    def found(lcps: list[int], heads: list[bytes]) -> pa.RecordBatch | None:
-        lcp = np.array(lcps)
-        head = np.frombuffer(b"".join(x[:24] for x in heads), np.uint32).reshape(-1, 6)
-        most = np.array([len(x) for x in heads]) // 4 - 6
-        least = head[:, 5].astype(np.int64)
-        doc, t = head[:, 0:2].copy().view(np.int64).ravel(), head[:, 2:4].copy().view(np.int64).ravel()
-        at = head[:, 4].astype(np.int64)
-        left = np.frombuffer(b"".join(x[24:].rjust(4 * tail, b"\0") for x in heads), np.uint32).reshape(-1, tail)
-        out = []
+            if n < 2 + tail:
+                seen = {}
+                if n < 2 and len(lcps) >= 4096:
+                    if (b := found(lcps, most, many, heads)) is not None:
+                        yield b
+                    lcps, most, many, heads = array("B"), array("B"), bytearray(), bytearray()
+            k = seen.setdefault(head[20:], len(lcps))
+            if k == len(lcps):
+                lcps.append(n)
+                most.append(len(head) // 4 - 6)
+                many.append(0)
+                heads += head[:24] + head[24:].rjust(4 * tail, b"\0")
+                continue
+            at = 4 * (6 + tail) * k
+            first = bytes(heads[at : at + 20])
+            if first == head[:20]:
+                continue
+            many[k] = 1
+            if place(head) < place(first):
+                heads[at : at + 20] = head[:20]
+                head = first + head[20:]
+            copies += span(head, length)
+            if len(copies) >= 1 << 18:
+                yield later(bytes(copies))
+                copies = bytearray()
+        if copies:
+            yield later(bytes(copies))
+        if lcps and (b := found(lcps, most, many, heads)) is not None:
+            yield b
+
+    def found(lcps: array, most_: array, many_: bytearray, heads: bytearray) -> pa.RecordBatch | None:
+        lcp, most, many = (np.frombuffer(x, np.uint8) for x in (lcps, most_, many_))
+        table = np.frombuffer(heads, np.uint32).reshape(-1, 6 + tail)
+        least, left = table[:, 5], table[:, 6:]
+        doc, t = (np.ascontiguousarray(table[:, c : c + 2]).view(np.int64).ravel() for c in (0, 2))
+        at = table[:, 4].astype(np.int64)
+        # for each number of words before the anchor: 1 for the first of several places, 2 for the others
+        state = np.zeros((len(lcp), tail + 3), np.uint8)
         back = np.zeros(len(lcp), np.uint64)
         for o in range(tail + 1):
             if o:
@@ -300,39 +372,36 @@ def _repeats(length: int, gram: int):
                 continue
             # runs are equal if the words from the anchor on are, up to the run's end, and those before it
             group = np.cumsum(lcp < 2 + tail - o)[use]
-            order = np.lexsort((at[use], t[use], doc[use], back[use], group))
-            u, g = use[order], group[order]
-            new = np.append(True, (g[1:] != g[:-1]) | (back[u][1:] != back[u][:-1]))
-            start = np.flatnonzero(new)
+            u = use[np.lexsort((at[use], t[use], doc[use], back[use], group))]
+            g = np.cumsum(lcp < 2 + tail - o)[u]
+            start = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (back[u][1:] != back[u][:-1])))
             size = np.diff(np.append(start, len(u)))
-            same = np.append(False, (doc[u][1:] == doc[u][:-1]) & (t[u][1:] == t[u][:-1]) & (at[u][1:] == at[u][:-1]) & ~new[1:])
-            places = size - np.add.reduceat(same.astype(np.int64), start)
-            lead = np.repeat(start, size)
-            is_first = (doc[u] == doc[u][lead]) & (t[u] == t[u][lead]) & (at[u] == at[u][lead])
-            hit = np.repeat(places > 1, size)
-            w = u[hit]
-            out.append((doc[w], t[w], at[w] - o, ~is_first[hit]))
-        if not out:
-            return None
-        doc, t, lo, later = (np.concatenate(x) for x in zip(*out))
-        if not len(doc):
+            hit = np.repeat((size > 1) | np.logical_or.reduceat(many[u] > 0, start), size)
+            kind = np.full(len(u), 2, np.uint8)
+            kind[start] = 1
+            state[u[hit], o + 1] = kind[hit]
+        out = []
+        for lo in range(0, len(lcp), 1 << 15):
+            some = state[lo : lo + (1 << 15)]
+            edge = some[:, 1:] != some[:, :-1]
+            row, begin = np.nonzero(edge & (some[:, 1:] > 0))
+            _, end = np.nonzero(edge & (some[:, :-1] > 0))
+            out.append((lo + row, begin, end, some[row, begin + 1] == 2))
+        row, begin, end, again = (np.concatenate(x) for x in zip(*out))
+        if not len(row):
             return None
-        # starts that follow each other make one range
-        order = np.lexsort((lo, later, t, doc))
-        doc, t, lo, later = doc[order], t[order], lo[order], later[order]
-        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (later[1:] != later[:-1]) | (lo[1:] > lo[:-1] + 1)))
-        end = np.append(new[1:], len(lo)) - 1
-        return batch(schema, doc[new], t[new], lo[new].astype(np.int32), (lo[end] + length).astype(np.int32), later[new])
+        return batch(schema, doc[row], t[row], (at[row] - end + 1).astype(np.int32), (at[row] - begin + length).astype(np.int32), again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges: dict[int, list[bytes]] = {}
         for rows in batches:
-            for p, r in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                ranges.setdefault(p, []).append(r)
+            for p, r, copies in zip(*(rows.column(c).to_pylist() for c in range(3))):
+                if copies:
+                    yield later(r)
+                else:
+                    ranges.setdefault(p, []).append(r)
         for p in sorted(ranges):
-            for lcps, heads in groups(merge(ranges.pop(p))):
-                if (b := found(lcps, heads)) is not None:
-                    yield b
+            yield from groups(merge(ranges.pop(p)))
 
     return run
 
@@ -376,7 +445,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     a passage; the others hold first occurrences only.  Words are runs without
     white space, compared as written.  Texts of fewer words than ``length``
     have no row, nor do rows with null id or text; rows with the same id and
-    text are one document.  Extra columns are ignored.
+    text are one document.  Texts of any length are read whole; an empty table
+    gives no rows.  Of places in one document the foremost is the first.  Extra
+    columns are ignored, whatever their names.
     """
     if not 1 <= length - gram <= 200:
         raise ValueError("gram must be less than length, by 200 at most")
@@ -388,7 +459,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     live = each.join(common, "h", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("t").alias("u")).agg(F.collect_list("x").alias("x"))
     texts = rows.join(live.hint("shuffle_hash"), (rows["doc_id"] == live["d"]) & (rows["t"] == live["u"])).select("doc_id", "t", "text", "x")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = texts.mapInArrow(_runs(length, gram, ranges), "part int, run binary").repartitionById(ranges, "part")
+    runs = texts.mapInArrow(_runs(length, gram, ranges), "part int, run binary, copies boolean").repartitionById(ranges, "part")
     spans = runs.mapInArrow(_repeats(length, gram), "doc_id long, t long, lo int, hi int, later boolean")
     by_doc = spans.groupBy("doc_id", "t").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"), F.collect_list("later").alias("later"))
     return by_doc.mapInArrow(_joined, "doc_id long, start_word int, end_word int, later boolean")
