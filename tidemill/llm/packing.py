@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, token_count
+from .common import batch, cut, token_count
 
 CAPACITY = 2048
-#: Ranks are counted in so many parts of each length, so that a frequent length is not one task.
+#: Ranks are counted in so many parts of each length, so that a frequent length is not one task.  Long texts don't
+#: make one frequent, as only what is left of them is ranked.
 SALTS = 64
 
 
@@ -105,10 +106,10 @@ class Plan:
 
 
 def items(docs: DataFrame, capacity: int) -> DataFrame:
+    """(doc_id, rest, wholes, salt) for each row with tokens: bins that it fills by itself, and the tokens that are left."""
     n = docs.select("doc_id", token_count("text").alias("n")).where("n > 0")
-    parts = n.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {capacity}"))).alias("part"))
-    salt = F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int")
-    return parts.select("doc_id", "part", (F.col("part") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).cast("long").alias("n_tokens"), salt.alias("salt"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    return n.select("doc_id", F.expr(f"n % {capacity}").alias("rest"), F.expr(f"n div {capacity}").alias("wholes"), salt.alias("salt"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -116,26 +117,41 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     A token here is a run without white space.  Documents longer than
     ``capacity`` are cut into parts of that many tokens and a rest; no token
-    is lost or cut off.  Null and empty texts have no tokens and no row.  A
-    null doc_id is packed like any other, repeated rows each for themselves;
-    equal lengths are taken by salt, doc_id and part.  No documents give no bins.
-    Extra columns are ignored.
+    is lost or cut off.  Parts that fill a bin have one each, after those of
+    the others; only rests have to be matched.  Null and empty texts have no
+    tokens and no row.  A null doc_id is packed like any other, repeated rows
+    each for themselves; equal lengths are taken by salt and doc_id.  No
+    documents give no bins.  Extra columns are ignored.  The capacity is less
+    than 2**19.
     """
-    all_ = items(docs, capacity)
-    counts = np.zeros((capacity + 1, SALTS), np.int64)
-    for n, salt, count in all_.groupBy("n_tokens", "salt").count().toLocalIterator():
-        counts[n, salt] = count
+    if not 0 < capacity < 1 << 19:
+        raise ValueError("the capacity is 1 at least and less than 2**19")
+    # texts are read and counted once
+    all_ = cut(items(docs, capacity))
+    counts, wholes = (np.zeros((capacity, SALTS), np.int64) for _ in range(2))
+    for n, salt, count, whole in all_.groupBy("rest", "salt").agg(F.count("*"), F.sum("wholes")).toLocalIterator():
+        counts[n, salt], wholes[n, salt] = count, whole
     before = np.cumsum(counts, axis=1) - counts
     total = counts.sum(axis=1)
-    plan = Plan({int(n): int(total[n]) for n in np.flatnonzero(total)}, capacity)
+    plan = Plan({int(n): int(total[n]) for n in np.flatnonzero(total) if n}, capacity)
+    first_whole = plan.bins + (np.cumsum(wholes) - wholes.ravel()).reshape(wholes.shape)
     schema = pa.schema([(c, pa.int64()) for c in ("bin_id", "doc_id", "part", "first_token", "n_tokens", "bin_offset")])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            if rows.num_rows:
-                n, salt, nth = (rows.column(c).to_numpy() for c in ("n_tokens", "salt", "nth"))
-                where, offset = plan.look_up(n, before[n, salt] + nth - 1)
-                yield batch(schema, where, rows.column("doc_id").cast(pa.int64()), rows.column("part"), rows.column("first_token"), rows.column("n_tokens"), offset)
-
-    nth = F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "part")).cast("long")
-    return all_.withColumn("nth", nth).mapInArrow(assign, "bin_id long, doc_id long, part long, first_token long, n_tokens long, bin_offset long")
+            if not rows.num_rows:
+                continue
+            rest, whole, salt, nth, done = (rows.column(c).to_numpy() for c in ("rest", "wholes", "salt", "nth", "done"))
+            doc = rows.column("doc_id").cast(pa.int64())
+            owner = np.repeat(np.arange(len(rest)), whole)
+            part = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
+            some = np.flatnonzero(rest)
+            where, offset = plan.look_up(rest[some], before[rest[some], salt[some]] + nth[some] - 1)
+            bins = np.append((first_whole[rest, salt] + done)[owner] + part, where)
+            part = np.append(part, whole[some])
+            size = np.append(np.full(len(owner), capacity), rest[some])
+            yield batch(schema, bins, doc.take(pa.array(np.append(owner, some))), part, part * capacity, size, np.append(np.zeros(len(owner), np.int64), offset))
+
+    w = Window.partitionBy("rest", "salt").orderBy("doc_id", "wholes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = all_.withColumn("nth", F.count("*").over(w)).withColumn("done", F.sum("wholes").over(w) - F.col("wholes"))
+    return ranked.mapInArrow(assign, "bin_id long, doc_id long, part long, first_token long, n_tokens long, bin_offset long")
