@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ def coder(path: str):
     return _CODERS[path]
 
 
-def tokenise(texts: pa.Array, path: str, known: dict[str, np.ndarray] | None = None, room: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def tokenise(texts: pa.Array, path: str, known: dict[str, bytes] | None = None, room: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """All token ids, and how many each text has.
 
     No token goes from black over to white, so texts are cut there and each
@@ -69,12 +70,12 @@ def tokenise(texts: pa.Array, path: str, known: dict[str, np.ndarray] | None = N
     values = coded.dictionary.to_pylist()
     if len(known) > room:
         known.clear()
-    new = [v for v in values if v not in known]
-    for v, ids in zip(new, map(enc.encode_ordinary, new)):
-        known[v] = ids
+    for v in values:
+        if v not in known:
+            known[v] = array("i", enc.encode_ordinary(v)).tobytes()
     lists = [known[v] for v in values]
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(size.sum()))
+    size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+    flat = np.frombuffer(b"".join(lists), np.int32)
     codes = coded.indices.to_numpy(zero_copy_only=False)
     n = size[codes]
     end = np.cumsum(n)
@@ -183,9 +184,10 @@ def compress(docs: DataFrame, path: str = VOCABULARY, side_by_side: int = 24) ->
 
     A block lists its documents in order with their numbers of tokens: -1 for
     a null text, 0 for an empty one.  Blocks hold about 65,536 tokens; a longer
-    document has a block of its own, whole.  Null ids and repeated rows are
-    kept as they are; extra columns are ignored.  No documents give the table
-    only, all zeros.  ``path`` names the tokenizer's ranks; every executor needs
+    document has a block of its own, whole, and is coded by itself, so that
+    others don't take its room.  Null ids and repeated rows are kept as they
+    are; extra columns are ignored, whatever their names.  No documents give
+    the table only, all zeros.  ``path`` names the tokenizer's ranks; every executor needs
     that file.
     """
     spark = docs.sparkSession
@@ -196,7 +198,7 @@ def compress(docs: DataFrame, path: str = VOCABULARY, side_by_side: int = 24) ->
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
         for part in pieces(batches):
             ids, n = tokenise(part.column("text"), path, known)
             cuts = np.append(0, np.cumsum(n) * kind.itemsize).astype(np.int32)
@@ -225,7 +227,11 @@ def compress(docs: DataFrame, path: str = VOCABULARY, side_by_side: int = 24) ->
         docs_, lens, parts, total = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            coded = encode([b for _, _, b in done], freq)
+            coded: list = [None] * len(done)
+            long = [k for k, (_, _, b) in enumerate(done) if len(b) > BLOCK]
+            for some in ([k for k in range(len(done)) if k not in long], *([k] for k in long)):
+                for k, c in zip(some, encode([done[k][2] for k in some], freq)):
+                    coded[k] = c
             cols = zip(*(("block", d, n, len(b), zlib.crc32(b.astype("<i4").tobytes()), *c) for (d, n, b), c in zip(done, coded)))
             return batch(_SCHEMA, *(list(c) for c in cols))
 
