@@ -32,6 +32,8 @@ from .common import batch, cut, fresh, hashes, mix, normal, pieces, word_codes
 HALF = 48
 #: Radius within a half; the radius of the whole fingerprint is 2 * REACH + 1 = 13.
 REACH = 6
+#: Rows of the tables that a task holds, on average.
+ROWS = 1 << 21
 #: Words shorter than this count together with the word before them.
 LONG_WORD = 5
 #: Texts with so many longer words count each of these once more.
@@ -39,8 +41,11 @@ MANY_LONG = (8, 24)
 _SPREAD = np.array([int.from_bytes(bytes((v >> b) & 1 for b in range(8)), "little") for v in range(256)], np.uint64)
 
 
-def masks(reach: int = REACH, half: int = HALF, seed: int = 7) -> np.ndarray:
-    """One mask for each table of a half."""
+def masks(reach: int = REACH, half: int = HALF, seed: int = 4206) -> np.ndarray:
+    """One mask for each table of a half.
+
+    With this seed the smallest mask has 19 positions; the more, the fewer chance meetings.
+    """
     vectors = np.random.default_rng(seed).integers(0, 1 << (reach + 1), half)
     return np.array([sum(1 << i for i, m in enumerate(vectors) if bin(int(m) & v).count("1") & 1) for v in range(1, 1 << (reach + 1))], np.int64)
 
@@ -190,15 +195,16 @@ def near_groups(docs: DataFrame, reach: int = REACH) -> DataFrame:
     with null id, null text or no word at all.  Rows with the same id are one
     document: the row appears once, in the least group if their texts differ.
     Ties don't matter, as groups don't depend on any order.  Texts are read
-    whole; extra columns are ignored.
+    whole; extra columns are ignored, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     prints = cut(fingerprints(docs))
     node = F.struct("a", "b")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = np.concatenate([masks(reach)] * 2)
+    # a task holds its rows, so there are more tasks if there are more fingerprints
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * len(tables) // ROWS))
     # each of these rows becomes hundreds, so its partitions mustn't be joined for being small
     distinct = prints.select("a", "b").repartition(parts, "a", "b").distinct()
-    tables = np.concatenate([masks(reach)] * 2)
     lookup = F.array(*[F.lit(int(m)) for m in tables])
     rows = distinct.select(F.explode(F.array(*[F.lit(t << HALF) for t in range(len(tables))])).alias("t"), "a", "b").select(F.col("t").bitwiseOR(F.col("a")).alias("ta"), "b")
     t = F.shiftright("ta", HALF)
