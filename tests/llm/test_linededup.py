@@ -41,3 +41,10 @@ def test_edges(docs_of):
     assert by[21] == ("d\n", 3 + 2999)
     assert (0, "a\nb\nc", 0) in got
     assert drop_repeated_lines(docs.where("false")).count() == 0
+
+
+def test_a_column_named_like_the_number_gives_way(docs_of):
+    docs = docs_of([(1, "a\nb\nc"), (2, "a\nb\nc")], "lines_removed")
+    out = drop_repeated_lines(docs)
+    assert out.columns == [c for c in docs.columns if c != "lines_removed"] + ["lines_removed"]
+    assert sorted((r.doc_id, r.text, r.lines_removed) for r in out.select("doc_id", "text", "lines_removed").collect()) == [(1, "a\nb\nc", 0), (2, "", 3)]

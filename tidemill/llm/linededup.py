@@ -36,9 +36,12 @@ def drop_repeated_lines(docs: DataFrame, removed: str = "lines_removed") -> Data
     with null id or null text, whose windows don't count either.  A text all
     of whose lines are repeats becomes ''.  Windows of blank lines alone don't
     count.  Rows with the same id and text are one document; with the same id
-    and other texts, the lesser text hash comes first.  Other columns stay as
-    they are, whatever their names.
+    and other texts, the lesser text hash comes first, so there are no ties.
+    Texts of any length are read whole; an empty table gives an empty one.
+    Other columns stay as they are, whatever their names, but one called
+    ``removed`` gives way to the number.
     """
+    docs = docs.drop(removed)
     w = windows(docs)
     first = w.groupBy("k", "m").agg(F.min(F.struct("doc_id", "t", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = w.join(first, ["k", "m"]).where(F.struct("doc_id", "t", "i") != F.col("first"))
