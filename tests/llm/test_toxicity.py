@@ -4,7 +4,7 @@ import pytest
 from conftest_llm import edge_rows
 
 from tidemill.llm import toxicity
-from tidemill.llm.toxicity import FILTERS, WIDTHS, buckets, classify, drop_toxic, threshold, train
+from tidemill.llm.toxicity import FILTERS, WIDTHS, buckets, classify, drawn, drop_toxic, gradients, parameters, threshold, train
 
 
 def slow_score(model, text):
@@ -15,8 +15,8 @@ def slow_score(model, text):
     e = np.vstack([model.word[word[codes]] + model.head[head[codes]], np.zeros((2, model.word.shape[1]))])
     best = []
     for f, w in zip(model.filters, WIDTHS):
-        # a window may run over the end by two words' worth of nothing
-        rows = [sum(e[i + j] @ f[j] for j in range(w) if i + j < len(e)) for i in range(len(codes) + 2)]
+        # a window starts at a word and may run over the end by two words' worth of nothing
+        rows = [sum(e[i + j] @ f[j] for j in range(w) if i + j < len(e)) for i in range(len(codes))]
         best.append(np.max(rows, axis=0))
     z = np.maximum(np.concatenate(best) + model.bias, 0) @ model.out + model.base
     return 1 / (1 + np.exp(-z))
@@ -45,7 +45,8 @@ def test_held_out_documents(corpus, monkeypatch):
     assert right >= 76
     kept = {r.doc_id for r in drop_toxic(docs, labels).collect()}
     assert kept == {i for i, r in got.items() if not r.toxic}
-    assert set(train(docs, labels).thresholds) <= {"en", "de"}
+    model = train(docs, labels)
+    assert set(model.thresholds) == {"en", "de"} and len({model.default, *model.thresholds.values()}) == 3
 
 
 def test_multiplied_out_tables_give_the_network(corpus, monkeypatch):
@@ -55,6 +56,7 @@ def test_multiplied_out_tables_give_the_network(corpus, monkeypatch):
     texts = [rows[0][1], "", None, "one", rows[1][1] * 5, "two words"]
     got = model.score(pa.array(texts), room=50)
     assert np.allclose(got, [slow_score(model, t) if t else 0.0 for t in texts], atol=1e-5)
+    assert np.allclose(got, [model.score(pa.array([t], pa.string()))[0] for t in texts], atol=1e-5)
     assert len(model.bias) == FILTERS * len(WIDTHS)
 
 
@@ -82,3 +84,49 @@ def test_edges(docs_of, spark, monkeypatch):
         assert out.where("text IS NULL OR text = ''").count() == 3
     assert drop_toxic(docs, none).count() == len(edge_rows())
     assert classify(docs.where("false"), some).count() == 0
+
+
+def test_gradients_by_finite_differences(monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS", 40)
+    monkeypatch.setattr(toxicity, "HEADS", 12)
+    r = np.random.default_rng(2)
+    p = {k: v.astype(float) for k, v in parameters(r).items()}
+    p["bias"] += r.normal(0, 0.1, p["bias"].shape)
+    texts = [(r.integers(0, 40, n), r.integers(0, 12, n)) for n in (1, 2, 7, 30)]
+    toxic = np.array([1.0, 0, 0, 1])
+    loss, g = gradients(p, texts, toxic)
+    z = []
+    for w, h in texts:
+        e = np.vstack([p["word"][w] + p["head"][h], np.zeros((2, p["word"].shape[1]))])
+        best = [np.max([sum(e[i + j] @ p[f"f{k}"][j] for j in range(k) if i + j < len(e)) for i in range(len(w))], axis=0) for k in WIDTHS]
+        z.append(np.maximum(np.concatenate(best) + p["bias"], 0) @ p["out"] + p["base"][0])
+    assert loss == pytest.approx(np.mean([np.log1p(np.exp(x)) - t * x for x, t in zip(z, toxic)]))
+    for name, x in p.items():
+        full = g[name]
+        if isinstance(full, tuple):
+            full = np.zeros_like(x)
+            full[g[name][0]] = g[name][1]
+        for at in r.choice(x.size, min(x.size, 25), replace=False):
+            keep, d = x.flat[at], 1e-6
+            x.flat[at] = keep + d
+            up, _ = gradients(p, texts, toxic)
+            x.flat[at] = keep - d
+            down, _ = gradients(p, texts, toxic)
+            x.flat[at] = keep
+            assert (up - down) / (2 * d) == pytest.approx(full.flat[at], abs=1e-6), (name, at)
+
+
+def test_thresholds_are_drawn_towards_that_of_all_languages():
+    assert drawn(0.9, 0.1, 0) == pytest.approx(0.1)
+    between = [drawn(0.9, 0.1, n) for n in (1, 5, 50, 5000)]
+    assert between == sorted(between) and 0.1 < between[0] and between[-1] > 0.89
+
+
+def test_repeated_ids_do_not_break_the_bound(docs_of, spark, words, monkeypatch):
+    monkeypatch.setattr(toxicity, "UPDATES", 5)
+    seen = []
+    real = toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda texts, toxic, seed=3: seen.append(len(texts)) or real(texts, toxic, seed))
+    docs = docs_of([(k % 4, words.text(9)) for k in range(400)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(4)], "doc_id long, quality int, toxic int")
+    assert classify(docs, labels, sample=2).count() == 400 and max(seen) == 4

@@ -4,8 +4,10 @@ A word's embedding is the sum of a row for its own hash and one for the hash
 of its first letters.  Filters of one, two and three words run over the whole
 text; the strongest answer of each filter goes into a logistic output.  For
 scoring, embeddings and filters are multiplied out once, so that a filter is
-the sum of a few looked-up numbers.  Each language has its own threshold, set
-on labelled documents that training doesn't see.
+the sum of a few looked-up numbers.  Each language has its own threshold.  It
+is set on all labelled documents, each scored by a network that was trained
+without it, and drawn towards the threshold of all languages the more, the
+fewer toxic documents the language has.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from .common import batch, fresh, hashes, normal, pieces, word_codes
 SAMPLE = 6000
 WORDS, HEADS, HEAD, DIM, FILTERS, WIDTHS = 1 << 15, 1 << 13, 4, 16, 8, (1, 2, 3)
 UPDATES, BATCH, RATE = 1200, 48, 0.01
-#: Toxic documents of a language among those held out from which it has a threshold of its own.
-ENOUGH = 15
+#: Parts of the labelled documents that are left out in turn, to set the thresholds.
+FOLDS = 2
+#: A language's own threshold counts by its toxic documents, that of all languages as so many.
+SHRINK = 10.0
 
 
 def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,62 +85,78 @@ class Model:
             for j in range(width):
                 answer = answer + np.take(np.ascontiguousarray(values[:, col : col + FILTERS]), padded[j : size + j], axis=0)
                 col += FILTERS
-            best.append(np.maximum.reduceat(answer, begin, axis=0))
+            # windows that start at a word; those in between would see the next text
+            best.append(np.maximum.reduceat(answer, np.stack([begin, begin + n], axis=1).ravel(), axis=0)[::2])
         z = np.maximum(np.concatenate(best, axis=1) + self.bias, 0) @ self.out + self.base
         return 1 / (1 + np.exp(-z))
 
 
+def parameters(r: np.random.Generator) -> dict[str, np.ndarray]:
+    p = {"word": r.normal(0, 0.1, (WORDS, DIM)).astype(np.float32), "head": r.normal(0, 0.1, (HEADS, DIM)).astype(np.float32), "bias": np.zeros(FILTERS * len(WIDTHS)), "out": r.normal(0, 0.3, FILTERS * len(WIDTHS)), "base": np.zeros(1)}
+    return p | {f"f{w}": r.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS}
+
+
+def gradients(p: dict[str, np.ndarray], texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[float, dict]:
+    """Mean log loss of some texts and its gradient, for embeddings as (rows, sums).
+
+    The gradient of a maximum goes to the first place that has it.
+    """
+    pad = max(WIDTHS) - 1
+    n = np.array([len(t[0]) for t in texts])
+    begin = np.cumsum(n + pad) - (n + pad)
+    size = int((n + pad).sum())
+    live = np.zeros(size + pad, bool)
+    word, head = (np.zeros(size + pad, np.int64) for _ in range(2))
+    for b, t in zip(begin, texts):
+        word[b : b + len(t[0])], head[b : b + len(t[0])] = t
+        live[b : b + len(t[0])] = True
+    e = np.take(p["word"], word, axis=0)  # far faster than indexing
+    e += np.take(p["head"], head, axis=0)
+    e[~live] = 0
+    each = e @ np.concatenate([p[f"f{w}"][j] for w in WIDTHS for j in range(w)], axis=1).astype(e.dtype)
+    best, where, col = [], [], 0
+    for w in WIDTHS:
+        answer = each[:size, col : col + FILTERS]
+        for j in range(1, w):
+            answer = answer + each[j : size + j, col + j * FILTERS : col + (j + 1) * FILTERS]
+        col += w * FILTERS
+        at = np.stack([b + answer[b : b + m].argmax(axis=0) for b, m in zip(begin, n)])
+        best.append(np.take_along_axis(answer, at, axis=0))
+        where.append(at)
+    pre = np.concatenate(best, axis=1) + p["bias"]
+    act = np.maximum(pre, 0)
+    z = act @ p["out"] + p["base"][0]
+    loss = float((np.logaddexp(0, z) - toxic * z).mean())
+    d = (1 / (1 + np.exp(-z)) - toxic) / len(texts)
+    g = {"out": act.T @ d, "base": np.array([d.sum()])}
+    dp = d[:, None] * p["out"] * (pre > 0)
+    g["bias"] = dp.sum(axis=0)
+    rows, grads = [], []
+    for k, w in enumerate(WIDTHS):
+        own, at = dp[:, k * FILTERS : (k + 1) * FILTERS], where[k]
+        g[f"f{w}"] = np.stack([np.einsum("bf,bfd->df", own, e[at + j]) for j in range(w)])
+        for j in range(w):
+            rows.append((at + j).ravel())
+            grads.append((own[:, :, None] * p[f"f{w}"][j].T).reshape(-1, DIM))
+    rows, grads = np.concatenate(rows), np.concatenate(grads)
+    use = live[rows]
+    for name, index in (("word", word), ("head", head)):
+        ids, back = np.unique(index[rows[use]], return_inverse=True)
+        sums = np.zeros((len(ids), DIM), p[name].dtype)
+        np.add.at(sums, back, grads[use])
+        g[name] = (ids, sums)
+    return loss, g
+
+
 def _train(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int = 3) -> Model:
-    """Adam on batches that are half toxic; the gradient of a maximum goes to the first place that has it."""
+    """Adam on batches that are half toxic."""
     r = np.random.default_rng(seed)
-    p = {"word": r.normal(0, 0.1, (WORDS, DIM)).astype(np.float32), "head": r.normal(0, 0.1, (HEADS, DIM)).astype(np.float32), "bias": np.zeros(FILTERS * len(WIDTHS)), "out": r.normal(0, 0.3, FILTERS * len(WIDTHS)), "base": np.zeros(1)}
-    p |= {f"f{w}": r.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS}
+    p = parameters(r)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     sides = [np.flatnonzero(toxic == c) for c in (0, 1)]
     for step in range(1, UPDATES + 1):
         some = np.concatenate([r.choice(s, BATCH // 2) for s in sides])
-        pad = max(WIDTHS) - 1
-        n = np.array([len(texts[i][0]) for i in some])
-        begin = np.cumsum(n + pad) - (n + pad)
-        size = int((n + pad).sum())
-        live = np.zeros(size + pad, bool)
-        word, head = (np.zeros(size + pad, np.int64) for _ in range(2))
-        for b, i in zip(begin, some):
-            word[b : b + len(texts[i][0])], head[b : b + len(texts[i][0])] = texts[i]
-            live[b : b + len(texts[i][0])] = True
-        e = np.take(p["word"], word, axis=0)  # far faster than indexing
-        e += np.take(p["head"], head, axis=0)
-        e[~live] = 0
-        text = np.repeat(np.arange(len(some)), n + pad)
-        best, where = [], []
-        for w in WIDTHS:
-            answer = sum(e[j : size + j] @ p[f"f{w}"][j].astype(np.float32) for j in range(w))
-            top = np.maximum.reduceat(answer, begin, axis=0)
-            place, filt = np.nonzero(answer == np.take(top, text, axis=0))
-            _, first = np.unique(text[place] * FILTERS + filt, return_index=True)
-            best.append(top)
-            where.append(place[first].reshape(len(some), FILTERS))
-        pre = np.concatenate(best, axis=1) + p["bias"]
-        act = np.maximum(pre, 0)
-        y = 1 / (1 + np.exp(-(act @ p["out"] + p["base"][0])))
-        d = (y - toxic[some]) / len(some)
-        g = {"out": act.T @ d, "base": np.array([d.sum()])}
-        dp = d[:, None] * p["out"] * (pre > 0)
-        g["bias"] = dp.sum(axis=0)
-        rows, grads = [], []
-        for k, w in enumerate(WIDTHS):
-            own, at = dp[:, k * FILTERS : (k + 1) * FILTERS], where[k]
-            g[f"f{w}"] = np.stack([np.einsum("bf,bfd->df", own, e[at + j]) for j in range(w)])
-            for j in range(w):
-                rows.append((at + j).ravel())
-                grads.append((own[:, :, None] * p[f"f{w}"][j].T).reshape(-1, DIM))
-        rows, grads = np.concatenate(rows), np.concatenate(grads)
-        use = live[rows]
-        for name, index in (("word", word), ("head", head)):
-            ids, back = np.unique(index[rows[use]], return_inverse=True)
-            sums = np.zeros((len(ids), DIM), np.float32)
-            np.add.at(sums, back, grads[use])
-            g[name] = (ids, sums)
+        _, g = gradients(p, [texts[i] for i in some], toxic[some])
         for name, x in p.items():
             at, dx = g[name] if isinstance(g[name], tuple) else (slice(None), g[name])
             m[name][at] = 0.9 * m[name][at] + 0.1 * dx
@@ -166,12 +186,29 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, part.column("doc_id"), part.column("lang"), part.column("toxic"), *lists)
 
 
+def _scores(model: Model, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    tables, score = model.tables(), np.empty(len(texts))
+    for lo in range(0, len(texts), 64):
+        some = texts[lo : lo + 64]
+        words, heads = (np.concatenate([t[j] for t in some]) for j in (0, 1))
+        values = np.vstack([tables[0][words] + tables[1][heads], np.zeros((1, tables[0].shape[1]), np.float32)])
+        score[lo : lo + 64] = model._some(values, np.arange(len(words)), np.array([len(t[0]) for t in some]))
+    return score
+
+
+def drawn(own: float, pooled: float, n: int) -> float:
+    """A threshold between a language's own, from ``n`` toxic documents, and that of all languages, on the scale of log odds."""
+    a, b = (np.log(t / (1 - t)) for t in np.clip([own, pooled], 1e-9, 1 - 1e-9))
+    return float(1 / (1 + np.exp(-(n * a + SHRINK * b) / (n + SHRINK))))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents of either class; a fifth sets the thresholds.
+    """Fit on at most ``sample`` labelled documents of either class.
 
     Labels with null id or class are left out; where labels of a document
-    differ it counts as toxic.  If there are no words of one of the classes,
-    the model calls nothing toxic.
+    differ it counts as toxic.  Of several rows with an id the one with the
+    least text hash counts, so no more come to the driver than the bound says.
+    If there are no words of one of the classes, the model calls nothing toxic.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = dict(known.groupBy("toxic").count().collect())
@@ -179,36 +216,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = known.where("toxic > 0").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic <= 0").orderBy(order, "doc_id").limit(sample))
     # as many rows as the parameter allows, so broadcast whatever the corpus holds
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "toxic", "text")
+    rows = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text", "lang").alias("h"), "lang", "toxic", "text")).alias("r")).select("doc_id", "r.lang", "r.toxic", "r.text")
     got = rows.mapInArrow(_coded, "doc_id long, lang string, toxic int, word array<int>, head array<int>").toArrow().combine_chunks()
     lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x.combine_chunks() for x in (got["word"], got["head"]))]
     ids = got["doc_id"].to_numpy()
     n = np.diff(lists[0][1])
-    at = np.array([i for i in np.lexsort((n, ids)) if n[i]], np.int64)
+    at = np.array([i for i in np.argsort(ids) if n[i]], np.int64)
     texts = [(lists[0][0][lists[0][1][i] : lists[0][1][i + 1]], lists[1][0][lists[1][1][i] : lists[1][1][i + 1]]) for i in at]
     toxic = (got["toxic"].to_numpy()[at] > 0).astype(float)
     lang = np.array([x or "" for x in got["lang"].to_pylist()], object)[at]
-    fold = np.random.default_rng(5).random(len(at)) < 0.2
-    if not all((toxic[~fold] == c).any() for c in (0, 1)):
+    both = lambda t: all((t == c).any() for c in (0, 1))
+    if not both(toxic):
         zero = np.zeros(FILTERS * len(WIDTHS))
         return Model(np.zeros((WORDS, DIM), np.float32), np.zeros((HEADS, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], zero, zero, -20.0, {}, 0.5)
-    model = _train([texts[i] for i in np.flatnonzero(~fold)], toxic[~fold])
-    if not (toxic[fold] > 0).any():
+    model = _train(texts, toxic)
+    fold = np.random.default_rng(5).permutation(len(at)) % FOLDS
+    if not all(both(toxic[fold != k]) for k in range(FOLDS)):
         return model
-    tables = model.tables()
-    held = np.flatnonzero(fold)
-    score = np.empty(len(held))
-    for lo in range(0, len(held), 64):
-        some = [texts[i] for i in held[lo : lo + 64]]
-        words, heads = (np.concatenate([t[j] for t in some]) for j in (0, 1))
-        values = np.vstack([tables[0][words] + tables[1][heads], np.zeros((1, tables[0].shape[1]), np.float32)])
-        score[lo : lo + 64] = model._some(values, np.arange(len(words)), np.array([len(t[0]) for t in some]))
-    weight = np.where(toxic[held] > 0, 1.0, sum(c for t, c in share.items() if t <= 0) / max(1, (toxic == 0).sum()) / (sum(c for t, c in share.items() if t > 0) / max(1, (toxic > 0).sum())))
-    model.default = threshold(score, toxic[held], weight)
-    for x in sorted(set(lang[held])):
-        own = lang[held] == x
-        if x and toxic[held][own].sum() >= ENOUGH and (toxic[held][own] == 0).sum() >= ENOUGH:
-            model.thresholds[x] = threshold(score[own], toxic[held][own], weight[own])
+    score = np.empty(len(at))
+    for k in range(FOLDS):
+        out = np.flatnonzero(fold == k)
+        score[out] = _scores(_train([texts[i] for i in np.flatnonzero(fold != k)], toxic[fold != k]), [texts[i] for i in out])
+    there = [sum(c for t, c in share.items() if (t > 0) == x) / (toxic == x).sum() for x in (False, True)]
+    weight = np.where(toxic > 0, 1.0, there[0] / there[1])
+    model.default = threshold(score, toxic, weight)
+    for x in sorted(set(lang) - {""}):
+        own = lang == x
+        n = int(toxic[own].sum())
+        model.thresholds[x] = drawn(threshold(score[own], toxic[own], weight[own]), model.default, n) if n else model.default
     return model
 
 
@@ -236,9 +271,11 @@ def limit(model: Model) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, lang, score, threshold, toxic) for every row of ``docs``.
 
-    Null and empty texts score 0 and aren't toxic.  A null or unknown language
-    has the threshold of all languages.  Null ids and repeated rows are scored
-    like others; extra columns are ignored.
+    Null and empty texts score 0 and aren't toxic; texts of any length are
+    read whole, and an empty table gives no rows.  A score equal to its
+    threshold isn't toxic.  A null or unknown language has the threshold of
+    all languages.  Null ids and repeated rows are scored like others; extra
+    columns are ignored, whatever their names.
     """
     model = train(docs, labels, sample)
     rows = docs.select("doc_id", "lang", scored(model).alias("score"), limit(model).alias("threshold"))
@@ -246,7 +283,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows called toxic; null and empty texts stay, and so do all columns."""
+    """``docs`` without the rows that ``classify`` calls toxic; null and empty texts stay, and so do all columns."""
     model = train(docs, labels, sample)
     (s,) = fresh(docs, "_score")
     return docs.withColumn(s, scored(model)).where(F.col(s) <= limit(model)).drop(s)
