@@ -70,5 +70,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op2_line_dedup": OP2_SQL}
+    own = {"op2_line_dedup": OP2_SQL, "op8_mixing": mixing.sql()}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
