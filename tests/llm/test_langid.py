@@ -1,9 +1,10 @@
 import numpy as np
 import pyarrow as pa
 from conftest_llm import Words, edge_rows
+from pyspark.sql import functions as F
 
 from tidemill.llm import langid
-from tidemill.llm.langid import NONE, ORDERS, _vectors, calibrate, grams, identify, inverse_frequencies, train
+from tidemill.llm.langid import ALPHA, BETA, L1, L2, NONE, ORDERS, _vectors, follow_leader, calibrate, grams, identify, inverse_frequencies, train
 
 
 def test_grams_do_not_depend_on_neighbours():
@@ -59,4 +60,42 @@ def test_edges(docs_of):
     for r in got:
         assert (r.predicted == langid.UNKNOWN) == (r.doc_id in (1, 2, 7)) and (r.confidence > 0) == (r.doc_id not in (1, 2, 7))
     assert identify(docs.where("false")).count() == 0
-    assert {r.predicted for r in identify(docs.withColumn("lang", docs.lang.substr(9, 1)).where("lang = 'x'")).collect()} == set()
+    unknown = identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(unknown) == len(edge_rows()) and {(r.predicted, r.confidence) for r in unknown} == {(langid.UNKNOWN, 0.0)}
+
+
+def test_weights_are_those_of_the_algorithm_as_published():
+    """Coordinate by coordinate, with dictionaries, for each example in the same order."""
+    r = np.random.default_rng(6)
+    rows = []
+    for _ in range(30):
+        ids = np.unique(r.integers(0, 12, r.integers(0, 6)))
+        rows.append((ids, r.random(len(ids)) * 5))
+    y = r.integers(0, 3, 30)
+    z, n = {}, {}
+
+    def weight(i, c):
+        a, b = z.get((i, c), 0.0), n.get((i, c), 0.0)
+        return 0.0 if abs(a) <= L1 else -(a - np.sign(a) * L1) / ((BETA + b**0.5) / ALPHA + L2)
+
+    order = np.random.default_rng(1)
+    for _ in range(langid.EPOCHS):
+        for k in order.permutation(30):
+            ids, x = rows[k]
+            if not len(ids):
+                continue
+            w = {(i, c): weight(i, c) for i in ids for c in range(3)}
+            s = [sum(v * w[i, c] for i, v in zip(ids, x)) for c in range(3)]
+            e = np.exp(np.array(s) - max(s))
+            p = e / e.sum()
+            for i, v in zip(ids, x):
+                for c in range(3):
+                    g = v * (p[c] - (c == y[k]))
+                    b = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - ((b + g * g) ** 0.5 - b**0.5) / ALPHA * w[i, c]
+                    n[i, c] = b + g * g
+    got = follow_leader(rows, y, 3)
+    want = np.zeros_like(got)
+    for i, c in z:
+        want[i, c] = weight(i, c)
+    assert np.allclose(got, want) and (got != 0).sum() > 5

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from conftest_llm import edge_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,3 +69,21 @@ def test_edges(docs_of):
         total[r.doc_id] += r.n_tokens
     assert total == {4: 1, 5: 60000, None: 6, 6: 6, 8: 80, 9: 80}
     assert pack(docs.where("false")).count() == 0
+
+
+def test_documents_of_many_bins(docs_of, words):
+    rows = [(i, words.text(n)) for i, n in enumerate([400, 128, 129, 256, 5, 640, 128, 0, 127])] + [(0, words.text(400)), (3, words.text(256))]
+    got = pack(docs_of(rows), 128).collect()
+    fill = Counter()
+    for r in got:
+        fill[r.bin_id] += r.n_tokens
+        assert r.first_token == r.part * 128 and (r.n_tokens == 128) <= (r.bin_offset == 0)
+    assert set(fill) == set(range(len(fill))) and sum(fill.values()) == sum(len(t.split()) for _, t in rows)
+    assert Counter(128 - n for n in fill.values()) == brute([r.n_tokens for r in got], 128)
+
+
+def test_capacity_is_bounded(docs_of):
+    for wrong in (0, 1 << 19):
+        with pytest.raises(ValueError, match="capacity"):
+            pack(docs_of([(1, "a")]), wrong)
+    assert pack(docs_of([(1, "a b")]), (1 << 19) - 1).count() == 1

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemill.llm import rans
-from tidemill.llm.rans import SCALE, coder, compress, decode, encode, expand, quantise, tokenise
+from tidemill.llm.rans import LANES, SCALE, coder, compress, decode, encode, expand, quantise, tokenise
 
 
 @settings(max_examples=30, deadline=None)
@@ -77,3 +77,38 @@ def test_damage_is_noticed():
 def test_empty(docs_of):
     got = compress(docs_of(edge_rows()).where("false")).collect()
     assert [r.kind for r in got] == ["table"]
+
+
+def scalar(block, freq):
+    """The coder as in the books, a lane after the other, symbol by symbol from the end."""
+    start, total = [0, *np.cumsum(freq).tolist()], 1 << SCALE
+    x, words = [1 << 31] * LANES, []
+    for i in range(len(block) - 1, -1, -1):
+        lane, f = i % LANES, int(freq[block[i]])
+        if x[lane] >= f << (31 - SCALE + 32):
+            words.append((i, x[lane] & 0xFFFFFFFF))
+            x[lane] >>= 32
+        x[lane] = x[lane] // f * total + x[lane] % f + start[block[i]]
+    return b"".join(w.to_bytes(4, "little") for _, w in sorted(words)), x
+
+
+def test_streams_are_those_of_a_scalar_coder():
+    r = np.random.default_rng(4)
+    blocks = [np.minimum(r.geometric(0.02, n) - 1, 299).astype(np.int32) for n in (0, 1, 63, 64, 5000, 20000)]
+    freq = quantise(np.bincount(np.concatenate(blocks), minlength=300))
+    for b, (stream, states, _) in zip(blocks, encode(blocks, freq)):
+        want, x = scalar(b.tolist(), freq)
+        assert stream == want
+        if len(b):
+            assert np.frombuffer(states, "<u8")[:LANES].tolist() == x
+
+
+def test_a_long_document_does_not_take_the_room_of_others(docs_of, words, monkeypatch):
+    monkeypatch.setattr(rans, "BLOCK", 500)
+    seen = []
+    real = rans.encode
+    monkeypatch.setattr(rans, "encode", lambda blocks, freq: seen.append([len(b) for b in blocks]) or real(blocks, freq))
+    rows = [(i, words.text(50)) for i in range(60)] + [(100, words.text(9000))]
+    docs = docs_of(rows)
+    assert sorted(r.doc_id for r in expand(compress(docs)).collect()) == sorted(d for d, _ in rows)
+    assert all(len(s) == 1 for s in seen if max(s, default=0) > 500)

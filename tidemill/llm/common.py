@@ -26,12 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the session names in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) a folder is made.
+    Only where the setting is absent and the session runs on one machine, as
+    in tests, a folder is made; on a cluster that raises.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if sc.getCheckpointDir() is None:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         return sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:

@@ -174,8 +174,9 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     Null and empty texts are 'und' with confidence 0, as is everything if no
     document has a language.  A null lang is predicted like any other.  Of
-    equal scores the language first in the alphabet wins.  Null ids and
-    repeated rows are scored like others; extra columns are ignored.
+    equal scores the language first in the alphabet wins.  An empty table
+    gives no rows.  Null ids and repeated rows are scored like others; extra
+    columns are ignored, whatever their names.
     """
     model = train(docs, sample)
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("predicted", pa.string()), ("confidence", pa.float64())])
