@@ -44,7 +44,7 @@ def test_quantised_table(counts):
 
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="ab é\n\t 　'st漢!.1 ", max_size=40)), min_size=1, max_size=6))
-def test_pieces_give_the_tokens_of_whole_texts(texts):
+def test_tokens_are_those_of_each_text(texts):
     ids, n = tokenise(pa.array(texts, pa.string()), rans.VOCABULARY)
     at = np.append(0, np.cumsum(n))
     for i, t in enumerate(texts):

@@ -22,15 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, batch, pieces, raw, scratch
+from .common import batch, pieces, scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK, LANES, STEP, SCALE = 1 << 16, 64, 256, 22
 _LOW = np.uint64(1 << 31)
 _UP = np.uint64(31 - SCALE + 32)
-#: White space that isn't ASCII: texts with it are split by the pattern alone.
-_WIDE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _CODERS: dict[str, object] = {}
 
 
@@ -45,43 +43,16 @@ def coder(path: str):
     return _CODERS[path]
 
 
-def tokenise(texts: pa.Array, path: str, known: dict[str, bytes] | None = None, room: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """All token ids, and how many each text has.
-
-    No token goes from black over to white, so texts are cut there and each
-    distinct piece is encoded once; ``known`` keeps pieces for later calls.
-    """
-    enc, known = coder(path), {} if known is None else known
-    texts = pc.fill_null(texts, "")
-    data, off = raw(texts)
-    wide = pc.match_substring_regex(texts, _WIDE).to_numpy(zero_copy_only=False)
-    space = _SPACE[data]
-    start = np.zeros(len(data), bool)
-    start[1:] = space[1:] & ~space[:-1]
-    if wide.any():
-        start &= ~np.repeat(wide, np.diff(off))
-    edge = off[:-1][np.diff(off) > 0]
-    start[edge] = True
-    at = np.flatnonzero(start)
-    if not len(at):
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    cuts = np.append(at, len(data)).astype(np.int32)
-    coded = pa.StringArray.from_buffers(len(at), pa.py_buffer(cuts.tobytes()), pa.py_buffer(data)).dictionary_encode()
-    values = coded.dictionary.to_pylist()
-    if len(known) > room:
-        known.clear()
-    for v in values:
-        if v not in known:
-            known[v] = array("i", enc.encode_ordinary(v)).tobytes()
-    lists = [known[v] for v in values]
-    size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-    flat = np.frombuffer(b"".join(lists), np.int32)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    n = size[codes]
-    end = np.cumsum(n)
-    ids = flat[np.repeat((np.cumsum(size) - size)[codes] - (end - n), n) + np.arange(int(end[-1]))]
-    total = np.append(0, end)
-    return ids, np.diff(total[np.searchsorted(at, off)])
+def tokenise(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All token ids one text after the other, and how many each text has; null has none."""
+    encode_ordinary, ids = coder(path).encode_ordinary, array("i")
+    n = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts.to_pylist()):
+        if text:
+            own = encode_ordinary(text)
+            n[k] = len(own)
+            ids.extend(own)
+    return np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32), n
 
 
 def quantise(count: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -198,9 +169,8 @@ def compress(docs: DataFrame, path: str = VOCABULARY, side_by_side: int = 24) ->
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
-        known: dict[str, bytes] = {}
         for part in pieces(batches):
-            ids, n = tokenise(part.column("text"), path, known)
+            ids, n = tokenise(part.column("text"), path)
             cuts = np.append(0, np.cumsum(n) * kind.itemsize).astype(np.int32)
             blob = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(ids.astype(kind).tobytes())])
             count = np.where(pc.is_null(part.column("text")).to_numpy(zero_copy_only=False), -1, n).astype(np.int32)
