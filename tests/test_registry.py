@@ -118,3 +118,67 @@ def test_exists_by_kind(reg):
     assert reg.exists(1, w, Extraction.DELTA, False) and reg.exists(1, inner, Extraction.DELTA, False)
     assert reg.exists(1, w, Extraction.DELTA, True) and not reg.exists(1, inner, Extraction.DELTA, True)
     assert not reg.exists(2, w, Extraction.FULL, False)
+
+
+def test_all_of_it_is_found_again(reg, tmp_path):
+    from tidemill.spec import Grouping, SourceSpec
+
+    full = SPEC.but(object_id=7, interval=Period.of(1, "month"), delta_safety=Period.of(2, "hours"), grouping=Grouping(("a",), having="n > 1", order_by=("a",), limit=3), source=SourceSpec("csv", "/x", {"sep": ";"}, rename={"k": "key"}, relaxed={"t": "string"}, reject_limit=2), load_start=NOW, columns=("v",), first=NOW)
+    reg.add(full)
+    reg.add(full.but(active=False), user="me")
+    reg.chains["c/d"] = Chain("c/d", "1>>7", schedule="daily")
+    reg.constants["ext"] = "external_"
+    reg.dependencies += [(7, 1)]
+    (a,) = reg.plan(1)
+    again = Registry(tmp_path, clock=lambda: NOW)
+    assert again.spec(7) == full.but(active=False) and again.spec(1) == SPEC
+    assert again.chains == {"c/d": Chain("c/d", "1>>7", schedule="daily")} and again.constant("ext") == "external_" and again.constant("bkp") == "bkp_"
+    assert again.dependencies == [(7, 1)] and again.plan(1) == [a]
+    assert [(h["change_type"], h["change_username"], h["object_id"]) for h in again.history] == [("INSERT", "", 1), ("INSERT", "", 7), ("UPDATE", "me", 7)]
+    assert again.history[2]["spec"] == full
+    del again.chains["c/d"]
+    again.remove(7)
+    assert set(Registry(tmp_path).specs) == {1} and Registry(tmp_path).chains == {}
+
+
+def test_failed_windows_come_again_in_order(reg):
+    how = dict(mode=Mode.ITER, interval=Period.of(1, "day"))
+    first = reg.plan(1, datetime(2024, 5, 1), datetime(2024, 5, 4, 1), **how)
+    reg.set_error(first[0].load_id)
+    reg.set_success(first[1].load_id)
+    # the watermark doesn't pass the window that failed
+    assert reg.watermarks(1) == [datetime(2024, 5, 1)]
+    again = reg.plan(1, **how)
+    assert [r.extraction_from.day for r in again] == [1, 3, 4] and [r.load_id for r in again][:2] == [first[0].load_id, first[2].load_id]
+    for r in again:
+        reg.set_success(r.load_id)
+    assert max(reg.watermarks(1)) == datetime(2024, 5, 5)
+
+
+def test_a_run_whose_process_is_gone_comes_again(reg):
+    (a,) = reg.plan(1)
+    reg.lock(a.load_id, SPEC.name)
+    reg.set_in_process(a.load_id)
+    assert [r.load_id for r in reg.plan(1)] != [a.load_id] and reg.run(a.load_id).status is Status.IN_PROCESS
+    reg.unlock(a.load_id)
+    assert a.load_id in [r.load_id for r in reg.plan(1)]
+
+
+def test_runs_are_found_by_object(reg, monkeypatch):
+    reg.add(SPEC.but(object_id=2))
+    for k in (1, 2):
+        reg.plan(k)
+    opened = []
+    real = reg.files.read
+    monkeypatch.setattr(reg.files, "read", lambda n: opened.append(n) or real(n))
+    assert len(reg.runs(2)) == 1 and len([n for n in opened if n.startswith("runs/")]) == 1
+
+
+def test_state_on_the_session_s_file_system(spark, tmp_path):
+    r = Registry(f"file://{tmp_path}/state", lambda: NOW, spark)
+    r.add(SPEC)
+    (a,) = r.plan(1)
+    assert r.lock(1, "a/b") and not r.lock(2, "a/b") and r.unlock(1) == 1
+    r.log("INFO", "x", load_id=a.load_id)
+    again = Registry(f"file://{tmp_path}/state", lambda: NOW, spark)
+    assert again.plan(1) == [a] and again.spec(1) == SPEC and len(again.logs()) == 1

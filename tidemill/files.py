@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import time
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -11,9 +14,12 @@ from pyspark.sql import SparkSession
 def shared(spark: SparkSession, name: str) -> str:
     """A new folder's path in the one that the session names in spark.checkpoint.dir, which all executors share.
 
-    Only where the setting is absent, as in tests on one machine, it is a local one.
+    Only where the setting is absent and the session runs on one machine, as in tests, it is a local one.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    where = where or tempfile.mkdtemp(prefix="shared-")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -89,3 +95,46 @@ class Files:
         """Seconds since a file was written."""
         p = self._path(name)
         return (self._jvm.java.lang.System.currentTimeMillis() - self._fs(p).getFileStatus(p).getModificationTime()) / 1000
+
+
+class LocalFiles:
+    """The same on the driver's own disk, without a session."""
+
+    def __init__(self, root: str | Path):
+        self.root = Path(root)
+
+    def exists(self, name: str = "") -> bool:
+        return (self.root / name).exists()
+
+    def read(self, name: str) -> str:
+        return (self.root / name).read_text()
+
+    def create(self, name: str, text: str) -> bool:
+        path = self.root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        try:
+            fd = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        except FileExistsError:
+            return False
+        with os.fdopen(fd, "w") as f:
+            f.write(text)
+        return True
+
+    def replace(self, name: str, text: str) -> None:
+        tmp = f"{name}.{uuid.uuid4().hex}.tmp"
+        self.create(tmp, text)
+        os.replace(self.root / tmp, self.root / name)
+
+    def delete(self, name: str) -> bool:
+        try:
+            (self.root / name).unlink()
+        except FileNotFoundError:
+            return False
+        return True
+
+    def names(self, name: str = "") -> list[str]:
+        path = self.root / name
+        return sorted(p.name for p in path.iterdir()) if path.exists() else []
+
+    def age(self, name: str) -> float:
+        return time.time() - (self.root / name).stat().st_mtime

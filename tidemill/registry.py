@@ -1,9 +1,11 @@
-"""State on the driver: specifications, runs, watermarks, locks, logs, chain runs.
+"""State: specifications and their history, runs, watermarks, locks, logs, chains and chain runs.
 
 State is small (rows for each run, not for each data row) and lives in one
-folder: a JSON file for each run, so runs of different objects don't touch the
-same file; locks are files whose creation is atomic; logs are appended apart
-from data, and so survive a load that fails.
+folder, on the driver's disk or, if a session is given, on whatever file
+system the folder's path names: a JSON file for each run, found by object, so
+runs of different objects don't touch the same file; locks are files whose
+creation fails if they exist; logs are written apart from data, and so survive
+a load that fails.  Whoever opens the folder again finds all of it.
 """
 
 from __future__ import annotations
@@ -13,13 +15,15 @@ import logging
 import os
 import threading
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import Files, LocalFiles
 from .plans.periods import Period
 from .plans.windows import LoadWindow, bounds, cut_windows, safety
 from .spec import Extraction, Load, LoadSpec, Mode, Status
@@ -90,31 +94,73 @@ def _load(kind, text: str):
     return kind(**x)
 
 
+class _Kept(dict):
+    """A dictionary that is written with every change."""
+
+    def __init__(self, items: dict, save: Callable, forget: Callable):
+        super().__init__(items)
+        self._save, self._forget = save, forget
+
+    def __setitem__(self, key, value) -> None:
+        self._save(key, value)
+        super().__setitem__(key, value)
+
+    def __delitem__(self, key) -> None:
+        super().__delitem__(key)
+        self._forget(key)
+
+
 class Registry:
-    def __init__(self, root: str | Path, clock=datetime.now):
-        self.root, self.clock = Path(root), clock
-        for d in ("runs", "locks", "logs", "instances", "sequences"):
-            (self.root / d).mkdir(parents=True, exist_ok=True)
-        self.specs: dict[int, LoadSpec] = {}
-        self.history: list[dict] = []
-        self.chains: dict[str, Chain] = {}
-        self.dependencies: list[tuple[int, int]] = []
-        self.constants: dict[str, str] = {"bkp": "bkp_", "buffer": "buffer_", "delta": "delta_", "ext": "ext_", "stg": "stg_"}
+    def __init__(self, root: str | Path, clock=datetime.now, spark: SparkSession | None = None):
+        self.root, self.clock = str(root), clock
+        self.files = Files(spark, str(root)) if spark is not None else LocalFiles(root)
         self._mutex = threading.RLock()
+        path = lambda kind, key: f"{kind}/{quote(str(key), safe='')}.json"
+
+        def kept(kind: str, dump: Callable, load: Callable, known: dict) -> _Kept:
+            own = [load(self.files.read(f"{kind}/{n}")) for n in self.files.names(kind) if n.endswith(".json")]
+            return _Kept(known | dict(own), lambda k, v: self.files.replace(path(kind, k), dump(k, v)), lambda k: self.files.delete(path(kind, k)))
+
+        self.specs: dict[int, LoadSpec] = kept("specs", lambda _, v: json.dumps(v.plain()), lambda x: ((s := LoadSpec.of(json.loads(x))).object_id, s), {})
+        self.chains: dict[str, Chain] = kept("chains", lambda _, v: _dump(v), lambda x: ((c := _load(Chain, x)).name, c), {})
+        pair = lambda x: (x["name"], x["value"])
+        constants = {"bkp": "bkp_", "buffer": "buffer_", "delta": "delta_", "ext": "ext_", "stg": "stg_"}
+        self.constants: dict[str, str] = kept("constants", lambda k, v: json.dumps({"name": k, "value": v}), lambda x: pair(json.loads(x)), constants)
 
     # -- specifications
 
+    @property
+    def dependencies(self) -> list[tuple[int, int]]:
+        """Pairs (object, object that it waits for)."""
+        return [tuple(e) for e in json.loads(self.files.read("dependencies.json"))] if self.files.exists("dependencies.json") else []
+
+    @dependencies.setter
+    def dependencies(self, pairs: Iterable[tuple[int, int]]) -> None:
+        self.files.replace("dependencies.json", json.dumps(sorted({tuple(e) for e in pairs})))
+
+    @property
+    def history(self) -> list[dict]:
+        """What was inserted, updated and deleted among the specifications, as it was before."""
+        out = []
+        for n in sorted(int(x.removesuffix(".json")) for x in self.files.names("history")):
+            x = json.loads(self.files.read(f"history/{n}.json"))
+            out.append(x | {"change_timestamp": datetime.fromisoformat(x["change_timestamp"]), "spec": LoadSpec.of(x["spec"])})
+        return out
+
+    def _changed(self, kind: str, user: str, spec: LoadSpec) -> None:
+        row = {"change_type": kind, "change_timestamp": self.clock().isoformat(), "change_username": user, "object_id": spec.object_id, "spec": spec.plain()}
+        self.files.create(f"history/{self._next('history')}.json", json.dumps(row))
+
     def add(self, spec: LoadSpec, user: str = "") -> LoadSpec:
         """Insert or replace a specification; what changed goes to the history."""
         with self._mutex:
-            kind = "UPDATE" if spec.object_id in self.specs else "INSERT"
-            self.history.append({"change_type": kind, "change_timestamp": self.clock(), "change_username": user, "object_id": spec.object_id, "spec": self.specs.get(spec.object_id, spec)})
+            self._changed("UPDATE" if spec.object_id in self.specs else "INSERT", user, self.specs.get(spec.object_id, spec))
             self.specs[spec.object_id] = spec
         return spec
 
     def remove(self, object_id: int, user: str = "") -> None:
         with self._mutex:
-            self.history.append({"change_type": "DELETE", "change_timestamp": self.clock(), "change_username": user, "object_id": object_id, "spec": self.spec(object_id)})
+            self._changed("DELETE", user, self.spec(object_id))
             del self.specs[object_id]
 
     def spec(self, object_id: int) -> LoadSpec:
@@ -138,37 +184,35 @@ class Registry:
 
     def _next(self, name: str) -> int:
         """1, 2, 3 ... across processes: a number is whoever's file for it was made first."""
-        folder = self.root / "sequences" / name
-        folder.mkdir(exist_ok=True)
-        n = max((int(p.name) for p in folder.iterdir()), default=0) + 1
-        while True:
-            try:
-                os.close(os.open(folder / str(n), os.O_CREAT | os.O_EXCL))
-                break
-            except FileExistsError:
-                n += 1
-        for p in folder.iterdir():
-            if int(p.name) < n - 16:
-                p.unlink(missing_ok=True)
+        folder = f"sequences/{name}"
+        own = [int(x) for x in self.files.names(folder) if x.isdigit()]
+        n = max(own, default=0) + 1
+        while not self.files.create(f"{folder}/{n}", ""):
+            n += 1
+        for x in own:
+            if x < n - 16:
+                self.files.delete(f"{folder}/{x}")
         return n
 
     def _write(self, kind: str, id_: int, x) -> None:
-        path = self.root / kind / f"{id_}.json"
-        tmp = path.with_suffix(f".{os.getpid()}.{threading.get_ident()}.tmp")
-        tmp.write_text(_dump(x))
-        os.replace(tmp, path)
+        if kind == "runs":
+            self.files.create(f"objects/{x.object_id}/{id_}", "")
+        self.files.replace(f"{kind}/{id_}.json", _dump(x))
 
     # -- runs
 
     def run(self, load_id: int) -> Run:
-        path = self.root / "runs" / f"{load_id}.json"
-        if not path.exists():
+        if not self.files.exists(f"runs/{load_id}.json"):
             raise RegistryError(f"unknown run {load_id}")
-        return _load(Run, path.read_text())
+        return _load(Run, self.files.read(f"runs/{load_id}.json"))
 
     def runs(self, object_id: int | None = None) -> list[Run]:
-        out = [_load(Run, p.read_text()) for p in (self.root / "runs").glob("*.json")]
-        return sorted((r for r in out if object_id is None or r.object_id == object_id), key=lambda r: r.load_id)
+        """All runs, or those of one object: others' files aren't opened."""
+        if object_id is None:
+            ids = [n.removesuffix(".json") for n in self.files.names("runs") if n.endswith(".json")]
+        else:
+            ids = [n for n in self.files.names(f"objects/{object_id}") if n.isdigit() and self.files.exists(f"runs/{n}.json")]
+        return [self.run(n) for n in sorted(map(int, ids))]
 
     def update(self, load_id: int, **fields) -> Run:
         """Set fields of a run; a name that isn't one, or a value of another type, raises."""
@@ -194,7 +238,10 @@ class Registry:
         return self.update(load_id, status=Status.ERROR)
 
     def watermarks(self, object_id: int) -> list[datetime]:
-        return [r.extraction_to for r in self.runs(object_id) if r.status is Status.SUCCESS and r.extraction_to]
+        """Ends of windows that succeeded, none beyond the start of one that is open or failed."""
+        runs = self.runs(object_id)
+        least = min((r.extraction_from for r in runs if r.status is not Status.SUCCESS and r.extraction_from), default=None)
+        return [r.extraction_to if least is None else min(r.extraction_to, least) for r in runs if r.status is Status.SUCCESS and r.extraction_to]
 
     def exists(self, object_id: int, window: LoadWindow, extraction: Extraction, periodic: bool) -> bool:
         """An open run covers the window already.  A periodic one must have just these bounds, a full one any."""
@@ -209,27 +256,46 @@ class Registry:
                 return True
         return False
 
-    def open_run(self, object_id: int, start: datetime | None = None, end: datetime | None = None) -> Run | None:
-        """The newest run not begun whose window lies within the bounds."""
+    def open_runs(self, object_id: int, start: datetime | None = None, end: datetime | None = None) -> list[Run]:
+        """Runs not begun whose window lies within the bounds, the earliest window first."""
         own = [r for r in self.runs(object_id) if r.status is Status.NEW and (start is None or (r.extraction_from and r.extraction_from >= start)) and (end is None or (r.extraction_to and r.extraction_to <= end))]
-        return own[-1] if own else None
+        return sorted(own, key=lambda r: (r.extraction_from or datetime.min, r.load_id))
+
+    def open_run(self, object_id: int, start: datetime | None = None, end: datetime | None = None) -> Run | None:
+        return next(iter(self.open_runs(object_id, start, end)), None)
+
+    def reopen(self, object_id: int) -> list[Run]:
+        """Runs that failed, or whose process is gone (in process, but without a lock), are to be done again."""
+        holders = {x["load_id"] for x in self.locks(self.spec(object_id).name)}
+        gone = lambda r: r.status is Status.ERROR or (r.status is Status.IN_PROCESS and r.load_id not in holders)
+        return [self.update(r.load_id, status=Status.NEW) for r in self.runs(object_id) if gone(r)]
 
     def plan(self, object_id: int, start: datetime | None = None, end: datetime | None = None, extraction: Extraction | None = None, load: Load | None = None, mode: Mode | None = None, interval: Period | None = None) -> list[Run]:
-        """Runs for the windows due; an open one within the bounds is used again."""
+        """Runs for the windows due, in order.
+
+        Windows that failed are due again, so none is lost when later ones
+        succeed; open ones within the bounds are used again.  New windows
+        follow if windows are cut by an interval, or if there is none open.
+        """
         spec = self.spec(object_id)
-        if again := self.open_run(object_id, start, end):
-            return [again]
         spec = spec.but(extraction=extraction or spec.extraction, load=load or spec.load, mode=mode or spec.mode, interval=interval or spec.interval)
-        lo, hi = bounds(spec, self.watermarks(object_id), self.clock(), start, end)
-        out = []
         with self._mutex:
+            self.reopen(object_id)
+            out = self.open_runs(object_id, start, end)
+            if out and spec.mode is not Mode.ITER:
+                return out
+            lo, hi = bounds(spec, self.watermarks(object_id), self.clock(), start, end)
+            done = [r for r in self.runs(object_id) if r.status is Status.SUCCESS] if out else []
             for w in cut_windows(spec.mode, lo, hi, spec.interval, safety(spec)):
                 if self.exists(object_id, w, spec.extraction, spec.mode is Mode.ITER):
                     continue
+                # windows behind a failed one that were loaded already
+                if any(r.extraction_from == w.start and r.load_id > out[0].load_id for r in done):
+                    continue
                 r = Run(self._next("load_id"), object_id, Status.NEW, spec.extraction, spec.load, w.start, w.end, created=self.clock(), updated=self.clock())
                 self._write("runs", r.load_id, r)
                 out.append(r)
-        return out
+        return sorted(out, key=lambda r: (r.extraction_from or datetime.min, r.load_id))
 
     def plan_group(self, group: str, **how) -> dict[int, list[Run]]:
         """Runs of all active objects of a group."""
@@ -240,37 +306,32 @@ class Registry:
 
     # -- locks
 
-    def _lock(self, name: str) -> Path:
-        return self.root / "locks" / name.replace("/", "_")
+    def _lock(self, name: str) -> str:
+        return f"locks/{quote(name, safe='')}"
 
     def lock(self, load_id: int, name: str, kind: str = "LOAD") -> bool:
-        """Atomic: of several that ask at once one gets it."""
-        try:
-            fd = os.open(self._lock(name), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError:
-            return False
-        with os.fdopen(fd, "w") as f:
-            json.dump({"load_id": load_id, "pid": os.getpid(), "lock_type": kind, "object_name": name, "timestamp": self.clock().isoformat()}, f)
-        return True
+        """Of several that ask at once one gets it."""
+        row = {"load_id": load_id, "pid": os.getpid(), "lock_type": kind, "object_name": name, "timestamp": self.clock().isoformat()}
+        with self._mutex:
+            return self.files.create(self._lock(name), json.dumps(row))
 
     def unlock(self, load_id: int | None = None, name: str | None = None) -> int:
         """Release by run, name or both; without either, all."""
         n = 0
         for x in self.locks(name):
             if load_id is None or x["load_id"] == load_id:
-                self._lock(x["object_name"]).unlink(missing_ok=True)
-                n += 1
+                n += self.files.delete(self._lock(x["object_name"]))
         return n
 
     def locks(self, name: str | None = None) -> list[dict]:
         out = []
-        for p in (self.root / "locks").iterdir():
+        for p in self.files.names("locks") if name is None else [quote(name, safe="")]:
+            if not self.files.exists(f"locks/{p}"):
+                continue
             try:
-                x = json.loads(p.read_text())
+                out.append(json.loads(self.files.read(f"locks/{p}")))
             except (OSError, ValueError):
                 continue
-            if name is None or x["object_name"] == name:
-                out.append(x)
         return sorted(out, key=lambda x: x["object_name"])
 
     def wait_lock(self, load_id: int, name: str, tries: int = 20, pause: float = 60.0, take_over: bool = False) -> None:
@@ -290,13 +351,11 @@ class Registry:
         if kind not in LOG_TYPES:
             raise ValueError(f"a log is one of {', '.join(LOG_TYPES)}, not {kind!r}")
         row = {"log_id": self._next("log_id"), "timestamp": self.clock().isoformat(), "type": kind, "msg": message, "location": location, "is_error": kind == "ERROR", "load_id": load_id, "instance_id": instance_id}
-        with self._mutex, open(self.root / "logs" / "log.jsonl", "a") as f:
-            f.write(json.dumps(row) + "\n")
+        self.files.create(f"logs/{row['log_id']:012d}.json", json.dumps(row))
         logging.getLogger("tidemill").log({"ERROR": 40, "WARN": 30, "DEBUG": 10}.get(kind, 20), "%s %s", location, message)
 
     def logs(self, load_id: int | None = None, instance_id: int | None = None) -> list[dict]:
-        path = self.root / "logs" / "log.jsonl"
-        rows = [json.loads(x) for x in path.read_text().splitlines()] if path.exists() else []
+        rows = [json.loads(self.files.read(f"logs/{n}")) for n in self.files.names("logs")]
         return [r for r in rows if (load_id is None or r["load_id"] == load_id) and (instance_id is None or r["instance_id"] == instance_id)]
 
     # -- chain runs
@@ -309,10 +368,10 @@ class Registry:
         return i
 
     def instance(self, instance_id: int) -> Instance:
-        return _load(Instance, (self.root / "instances" / f"{instance_id}.json").read_text())
+        return _load(Instance, self.files.read(f"instances/{instance_id}.json"))
 
     def instances(self) -> list[Instance]:
-        return sorted((_load(Instance, p.read_text()) for p in (self.root / "instances").glob("*.json")), key=lambda i: i.instance_id)
+        return [self.instance(n) for n in sorted(int(x.removesuffix(".json")) for x in self.files.names("instances") if x.endswith(".json"))]
 
     def update_instance(self, instance_id: int, **fields) -> Instance:
         if wrong := set(fields) - set(Instance.__dataclass_fields__):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
-from datetime import datetime
+from dataclasses import dataclass, field, fields, replace
+from datetime import datetime, timedelta
 from enum import Enum, IntEnum
 
 from .plans.periods import Period
@@ -23,6 +23,10 @@ class Load(str, Enum):
     DELTA_UPDATE = "DELTA_UPDATE"
     PARTITION = "PARTITION"
     UPDATE_PARTITION = "UPDATE_PARTITION"
+    #: Some columns of known keys, partition by partition.
+    COLUMNS = "COLUMNS"
+    #: Type-2 history as of the run's day.
+    HISTORY = "HISTORY"
 
 
 class Mode(str, Enum):
@@ -109,6 +113,19 @@ class LoadSpec:
     group: str | None = None
     active: bool = True
     connect: str | None = None
+    #: Columns that a COLUMNS load takes from the source.
+    columns: tuple[str, ...] = ()
+    #: Columns whose changes open no new row of a HISTORY load, its period's columns, and whether missing keys are closed.
+    ignore: tuple[str, ...] = ()
+    valid: tuple[str, str] = ("date_from", "date_to")
+    detect_deleted: bool = True
+    #: Of a DELTA load, rows whose key the table has are left out.
+    new_keys_only: bool = False
+    #: Of partition loads: rows without a date or before ``first`` go to the default partition, are skipped, or raise.
+    out_of_range: str = "default"
+    first: datetime | None = None
+    #: Of UPDATE_PARTITION: keys are compared with the whole table, not within a partition.
+    global_key: bool = False
 
     def __post_init__(self):
         for name, kind in (("extraction", Extraction), ("load", Load), ("mode", Mode), ("method", Method)):
@@ -116,7 +133,10 @@ class LoadSpec:
                 object.__setattr__(self, name, kind(getattr(self, name)))
             except ValueError as e:
                 raise SpecError(f"{self.name}: unknown {name} {getattr(self, name)!r}") from e
-        object.__setattr__(self, "merge_key", tuple(self.merge_key))
+        for name in ("merge_key", "columns", "ignore", "valid"):
+            object.__setattr__(self, name, tuple(getattr(self, name)))
+        if self.out_of_range not in ("default", "skip", "raise"):
+            raise SpecError(f"{self.name}: out_of_range is 'default', 'skip' or 'raise', not {self.out_of_range!r}")
         if self.duplicates not in ("keep", "drop"):
             raise SpecError(f"{self.name}: duplicates is 'keep' or 'drop', not {self.duplicates!r}")
 
@@ -128,6 +148,8 @@ class LoadSpec:
             Load.DELTA_UPDATE: ("merge_key",),
             Load.PARTITION: ("bdate_field",),
             Load.UPDATE_PARTITION: ("merge_key", "bdate_field"),
+            Load.COLUMNS: ("merge_key", "columns"),
+            Load.HISTORY: ("merge_key",),
         }.get(self.load, ())
         need += {Extraction.DELTA: ("delta_field",), Extraction.PARTITION: ("bdate_field",)}.get(self.extraction, ())
         missing = sorted({n for n in need if not getattr(self, n) and not (n in ("delta_field", "bdate_field") and self.where)})
@@ -135,5 +157,33 @@ class LoadSpec:
             raise SpecError(f"{self.name}: {self.load.value} with extraction {self.extraction.value} needs {', '.join(missing)}")
         return self
 
+    def plain(self) -> dict:
+        """What JSON can hold; ``of`` reads it again."""
+
+        def text(x):
+            if isinstance(x, Period):
+                return {"months": x.months, "seconds": x.span.total_seconds()}
+            if isinstance(x, (SourceSpec, Grouping)):
+                return {f.name: text(getattr(x, f.name)) for f in fields(x)}
+            return x.value if isinstance(x, Enum) else x.isoformat() if isinstance(x, datetime) else list(x) if isinstance(x, tuple) else x
+
+        return {f.name: text(getattr(self, f.name)) for f in fields(self)}
+
+    @staticmethod
+    def of(x: dict) -> LoadSpec:
+        own = {f.name for f in fields(LoadSpec)}
+        x = {k: v for k, v in x.items() if k in own}
+        for k in ("interval", "delta_safety", "bdate_safety"):
+            if x.get(k) is not None:
+                x[k] = Period(x[k]["months"], timedelta(seconds=x[k]["seconds"]))
+        for k in ("delta_start", "load_start", "first"):
+            if x.get(k) is not None:
+                x[k] = datetime.fromisoformat(x[k])
+        if x.get("grouping") is not None:
+            x["grouping"] = Grouping(**{k: tuple(v) if isinstance(v, list) else v for k, v in x["grouping"].items()})
+        if x.get("source") is not None:
+            x["source"] = SourceSpec(**x["source"])
+        return LoadSpec(**x)
+
     def but(self, **changes) -> LoadSpec:
         return replace(self, **changes)
