@@ -122,3 +122,44 @@ def test_a_table_may_be_replaced_by_what_is_read_of_it(store, dated):
     store.replace("t", dated((1, "2024-01-05"), (2, "2024-01-06")))
     store.replace_partitions("t", store.read("t").where("k = 2"))
     assert ids(store.read("t")) == [2]
+
+
+def test_mixed_widths(store, dated):
+    store.create("t", dated((1, None)).schema, "t", "2024-01-01=month;2024-03-01=day")
+    store.replace("t", dated((1, "2023-12-31"), (2, "2024-01-05"), (3, "2024-02-29"), (4, "2024-03-01"), (5, "2024-03-02"), (6, None)))
+    assert sorted(store.version("t").parts) == ["2024-01-01", "2024-02-01", "2024-03-01", "2024-03-02", "default"]
+    assert [p.name for p in store.partitions("t")] == ["m_01_2024", "m_02_2024", "d_01_03_2024", "d_02_03_2024"]
+    assert ids(store.read("t", ["default"])) == [1, 6]
+    for wrong in ("week", "2024-01-02=month", "2024-03-01=day;2024-01-01=month"):
+        with pytest.raises(ValueError):
+            store.create("u", dated((1, None)).schema, "t", wrong)
+
+
+def test_files_follow_the_size_of_a_partition(spark, tmp_path):
+    """A month with one value in its first column is split by size, small months aren't."""
+    store = TableStore(spark, str(tmp_path / "store"))
+    rows = spark.range(0, 200_000, 1, 16).selectExpr("1L as k", "case when id % 100 = 0 then timestamp_ntz'2024-01-05' else timestamp_ntz'2024-02-05' end as t", "sha2(cast(id as string), 256) as v")
+    store.create("t", rows.schema, "t", "month")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        store.replace("t", rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    n = {p: spark.read.parquet(str(tmp_path / "store/t" / d[0])).select("k").inputFiles() for p, d in store.version("t").parts.items()}
+    assert len(n["2024-02-01"]) > 4 and len(n["2024-01-01"]) == 1
+
+
+def test_keys_and_statistics_are_kept(store, spark):
+    rows = spark.range(1000).selectExpr("id % 100 as k", "id as v")
+    store.create("t", rows.schema, keys=["k"])
+    store.replace("t", rows)
+    assert store.distribution_key("t") == ("k",) and store.describe("t")["keys"] == ["k"]
+    for f in store.read("t").inputFiles():
+        own = [r.k for r in spark.read.parquet(f).collect()]
+        assert own == sorted(own)
+    assert store.known_statistics("t") is None
+    assert store.analyze("t")["k"]["rows"] == 1000 and store.known_statistics("t")["v"]["greatest"] == "999"
+    store.append("t", rows)
+    assert store.known_statistics("t") is None
+    with pytest.raises(ValueError):
+        store.create("u", rows.schema, keys=["x"])

@@ -43,9 +43,33 @@ def infer(start: datetime, end: datetime) -> str:
     return "day" if days < 28 else "month" if days < 32 else "quarter" if days <= 92 else "year"
 
 
-def of_value(t: datetime, period: str) -> Partition:
-    start = floor(t, period)
-    return Partition(start, PERIODS[period].after(start))
+def segments(period: str) -> list[tuple[datetime, str]]:
+    """The period in force from each date on.
+
+    A period is one of ``PERIODS`` or, for tables whose partitions aren't all
+    equally wide, such as ``2024-01-01=month;2024-03-01=day``.  Rows before the
+    first date have no partition.
+    """
+    out = []
+    for x in period.split(";"):
+        day, _, unit = x.strip().rpartition("=")
+        if unit not in PERIODS:
+            raise ValueError(f"a period is one of {', '.join(PERIODS)}, not {unit!r}")
+        out.append((datetime.fromisoformat(day) if day else datetime.min, unit))
+    if out != sorted(out, key=lambda x: x[0]) or any(d != datetime.min and floor(d, u) != d for d, u in out):
+        raise ValueError(f"{period!r}: dates must rise, each the start of one of its periods")
+    return out
+
+
+def of_value(t: datetime, period: str) -> Partition | None:
+    """The partition that holds ``t``, None before the first one; a partition ends where another period begins."""
+    all_ = segments(period)
+    k = max((k for k, (day, _) in enumerate(all_) if day <= t), default=None)
+    if k is None:
+        return None
+    start = floor(t, all_[k][1])
+    end = PERIODS[all_[k][1]].after(start)
+    return Partition(start, min([end, *(day for day, _ in all_[k + 1 :])]))
 
 
 def extend(partitions: Iterable[Partition], value: datetime, limit: datetime | None = None) -> list[Partition]:
@@ -79,15 +103,20 @@ def by_value(partitions: Iterable[Partition], value: datetime) -> Partition | No
 
 
 def start_of(column: Column | str, period: str) -> Column:
-    """The first day of each row's partition, null without a date; no time zone takes part."""
+    """The first day of each row's partition, null if it has none; no time zone takes part."""
     c = F.col(column) if isinstance(column, str) else column
-    if period not in PERIODS:
-        raise ValueError(f"a period is one of {', '.join(PERIODS)}, not {period!r}")
-    return c.cast("date") if period == "day" else F.trunc(c.cast("date"), period)
+    out = None
+    for day, unit in segments(period):
+        own = c.cast("date") if unit == "day" else F.trunc(c.cast("date"), unit)
+        if day != datetime.min:
+            own = F.when(c >= F.lit(day), own)
+            own = own if out is None else own.otherwise(out)
+        out = own
+    return out
 
 
 def key(column: Column | str, period: str) -> Column:
-    """The same as text, such as 2001-05-01; DEFAULT without a date."""
+    """The same as text, such as 2001-05-01; DEFAULT if there is none."""
     return F.coalesce(start_of(column, period).cast("string"), F.lit(DEFAULT))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .files import Files
 from .operators.common import in_order, unused
-from .plans.partitions import DEFAULT, Partition, key, of_value, overlapping
+from .plans.partitions import DEFAULT, Partition, key, of_value, overlapping, segments
 
 CURRENT = "CURRENT"
 
@@ -39,14 +39,18 @@ class Version:
     period: str | None = None
     parts: dict[str, list[str]] = dataclasses.field(default_factory=dict)
     previous: int | None = None
+    #: Columns by which rows are spread over files and sorted in them.
+    keys: tuple[str, ...] = ()
+    #: What a writer wants to keep with the data, such as the last batch of a stream.
+    marks: dict[str, int] = dataclasses.field(default_factory=dict)
 
     def text(self) -> str:
-        return json.dumps({"number": self.number, "schema": self.schema.jsonValue(), "field": self.field, "period": self.period, "parts": self.parts, "previous": self.previous})
+        return json.dumps({"number": self.number, "schema": self.schema.jsonValue(), "field": self.field, "period": self.period, "parts": self.parts, "previous": self.previous, "keys": list(self.keys), "marks": self.marks})
 
     @staticmethod
     def of(text: str) -> Version:
         x = json.loads(text)
-        return Version(**x | {"schema": T.StructType.fromJson(x["schema"])})
+        return Version(**x | {"schema": T.StructType.fromJson(x["schema"]), "keys": tuple(x.get("keys", ()))})
 
 
 class TableStore:
@@ -67,24 +71,39 @@ class TableStore:
             raise TableMissing(name)
         return Version.of(files.read(f"v{number}.json" if number is not None else CURRENT))
 
-    def create(self, name: str, schema: T.StructType, field: str | None = None, period: str | None = None, replace: bool = False) -> None:
-        """An empty table, partitioned by a period of ``field`` if one is named."""
+    def create(self, name: str, schema: T.StructType, field: str | None = None, period: str | None = None, replace: bool = False, keys: Sequence[str] = ()) -> None:
+        """An empty table, partitioned by a period of ``field`` if one is named.
+
+        ``keys`` spread rows over files and sort them there, so that readers of
+        a few keys skip what the files' statistics exclude.
+        """
+        if field:
+            segments(period or "")
+        if unknown := {*keys, *([field] if field else [])} - set(schema.names):
+            raise ValueError(f"{name} has no column {', '.join(sorted(unknown))}")
         if self.exists(name) and not replace:
             raise ValueError(f"{name} exists")
         number = self.version(name).number + 1 if self.exists(name) else 1
-        self._publish(name, Version(number, schema, field, period, {}, number - 1 or None))
+        self._publish(name, Version(number, schema, field, period, {}, number - 1 or None, tuple(keys)))
 
     def create_like(self, name: str, other: str, replace: bool = True) -> None:
         if name == other:
             raise ValueError("a table can't be made like itself")
         v = self.version(other)
-        self.create(name, v.schema, v.field, v.period, replace)
+        self.create(name, v.schema, v.field, v.period, replace, v.keys)
 
     def create_as(self, name: str, df: DataFrame, field: str | None = None, period: str | None = None) -> int:
         """A table of a query's rows; the number of rows."""
         self.create(name, df.schema, field, period, replace=True)
+        before = self.version(name)
         self.replace(name, df)
-        return self.read(name).count()
+        return self.written(name, before)
+
+    def written(self, name: str, since: Version) -> int:
+        """Rows in the folders that were added after a version: their files' footers tell, others aren't opened."""
+        v, old = self.version(name), {d for ds in since.parts.values() for d in ds}
+        new = [f"{self.root}/{name}/{d}" for ds in v.parts.values() for d in ds if d not in old]
+        return self.spark.read.schema(v.schema).parquet(*new).count() if new else 0
 
     def read(self, name: str, parts: Sequence[str] | None = None, number: int | None = None) -> DataFrame:
         """The rows, or those of some partitions: other partitions aren't looked at."""
@@ -102,13 +121,17 @@ class TableStore:
         """New folders by partition; all partitions are written by one job."""
         batch = f"data/{uuid.uuid4().hex}"
         rows = in_order(df, v.schema)
+        if v.keys:
+            by = [F.col(f"`{k}`") for k in v.keys]
+            rows = rows.repartition(*by).sortWithinPartitions(*([key(F.col(f"`{v.field}`"), v.period)] if v.field else []), *by)
         writer = lambda x: x.write.option("compression", self.compression).option("maxRecordsPerFile", self.rows_per_file)
         if not v.field:
             writer(rows).parquet(f"{self.root}/{name}/{batch}")
             return {"": [batch]}
         (p,) = unused(rows, "_part")
         placed = rows.withColumn(p, key(F.col(f"`{v.field}`"), v.period))
-        writer(placed.repartition(F.col(p), F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(8)))).partitionBy(p).parquet(f"{self.root}/{name}/{batch}")
+        # partitions are split and joined to tasks of the session's advised size, as the rows that arrive have it
+        writer(placed if v.keys else placed.hint("rebalance", p)).partitionBy(p).parquet(f"{self.root}/{name}/{batch}")
         made = [x for x in self._files(name).names(batch) if x.startswith(f"{p}=")]
         return {x.partition("=")[2]: [f"{batch}/{x}"] for x in made}
 
@@ -121,15 +144,20 @@ class TableStore:
         files.replace(CURRENT, v.text())
 
     def _next(self, v: Version, parts: dict[str, list[str]]) -> Version:
-        return Version(v.number + 1, v.schema, v.field, v.period, parts, v.number)
+        return dataclasses.replace(v, number=v.number + 1, parts=parts, previous=v.number)
 
-    def replace(self, name: str, df: DataFrame) -> None:
+    def replace(self, name: str, df: DataFrame, **marks: int) -> None:
         """All rows; the version before stays readable as the backup."""
-        v = self.version(name)
+        v = self._marked(name, marks)
         self._publish(name, self._next(v, self._write(name, v, df)))
 
-    def append(self, name: str, df: DataFrame) -> None:
+    def _marked(self, name: str, marks: dict[str, int]) -> Version:
         v = self.version(name)
+        return dataclasses.replace(v, marks={**v.marks, **marks})
+
+    def append(self, name: str, df: DataFrame, **marks: int) -> None:
+        """Further rows; ``marks`` become current with them, in one step."""
+        v = self._marked(name, marks)
         parts = {p: list(d) for p, d in v.parts.items()}
         for p, d in self._write(name, v, df).items():
             parts.setdefault(p, []).extend(d)
@@ -141,9 +169,8 @@ class TableStore:
         if len(df.columns) != len(v.schema):
             raise ValueError(f"{name} has {len(v.schema)} columns, the rows {len(df.columns)}")
         rows = (df.where(where) if where else df).toDF(*v.schema.names)
-        before = 0 if truncate else self.read(name).count()
         (self.replace if truncate else self.append)(name, rows)
-        return self.read(name).count() - before
+        return self.written(name, v)
 
     def insert_query(self, name: str, query: str, truncate: bool = False) -> int:
         return self.insert(name, self.spark.sql(query), truncate=truncate)
@@ -166,13 +193,29 @@ class TableStore:
         each = [F.struct(F.lit(n).alias("column"), F.count(F.lit(1)).alias("rows"), F.sum(F.col(f"`{n}`").isNull().cast("long")).alias("nulls"), F.approx_count_distinct(f"`{n}`").alias("distinct"), F.min(f"`{n}`").cast("string").alias("least"), F.max(f"`{n}`").cast("string").alias("greatest")) for n in names]
         return df.agg(F.array(*each).alias("s")).select(F.inline("s"))
 
+    def analyze(self, name: str, columns: Sequence[str] | None = None) -> dict[str, dict]:
+        """Compute ``statistics`` and keep them with the table, with the number of the version they hold for."""
+        rows = {r["column"]: r.asDict() for r in self.statistics(name, columns).collect()}
+        self._files(name).replace("STATISTICS", json.dumps({"version": self.version(name).number, "columns": rows}))
+        return rows
+
+    def known_statistics(self, name: str) -> dict | None:
+        """What ``analyze`` kept, None if nothing was kept or the table has changed since."""
+        files = self._files(name)
+        x = json.loads(files.read("STATISTICS")) if files.exists("STATISTICS") else None
+        return x["columns"] if x and x["version"] == self.version(name).number else None
+
+    def distribution_key(self, name: str) -> tuple[str, ...]:
+        """The columns by which rows are spread and sorted."""
+        return self.version(name).keys
+
     def describe(self, name: str) -> dict[str, object]:
         v = self.version(name)
-        return {"format": "parquet", "compression": self.compression, "version": v.number, "partition_key": v.field, "period": v.period, "partitions": len(v.parts), "columns": {f.name: f.dataType.simpleString() for f in v.schema}}
+        return {"format": "parquet", "compression": self.compression, "version": v.number, "partition_key": v.field, "period": v.period, "partitions": len(v.parts), "keys": list(v.keys), "columns": {f.name: f.dataType.simpleString() for f in v.schema}}
 
-    def replace_partitions(self, name: str, df: DataFrame) -> list[str]:
+    def replace_partitions(self, name: str, df: DataFrame, **marks: int) -> list[str]:
         """Partitions for which ``df`` has rows; the others keep their files.  The names of those replaced."""
-        v = self.version(name)
+        v = self._marked(name, marks)
         if not v.field:
             raise ValueError(f"{name} has no partitions")
         new = self._write(name, v, df)
@@ -192,7 +235,8 @@ class TableStore:
     def _named(self, v: Version, part: str | datetime) -> str:
         if not v.field:
             raise ValueError("the table has no partitions")
-        p = of_value(part, v.period).start.strftime("%Y-%m-%d") if isinstance(part, datetime) else part
+        found = of_value(part, v.period) if isinstance(part, datetime) else None
+        p = part if isinstance(part, str) else found.start.strftime("%Y-%m-%d") if found else DEFAULT
         if p not in v.parts:
             raise KeyError(f"no partition {p}")
         return p
