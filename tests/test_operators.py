@@ -174,3 +174,27 @@ def test_history_without_deletions(hist, snap):
     how = Scd2(["k"], date(2024, 6, 1), detect_deleted=False)
     assert rows(scd2(trg, snap((1, "a", "b", "n")), how)) == rows(trg)
     assert rows(scd2(trg, snap((1, "a", "b", "n")).where("false"), how)) == rows(trg)
+
+
+def test_dropping_duplicates_ranks_repeated_keys_only(spark, kv):
+    """The plan sorts the source and the target's repeated keys; the target's other rows are counted by key."""
+    trg = kv(*[(k % 50, f"t{k}") for k in range(80)], (None, "a"), (None, "b"))
+    src = kv((1, "x"), (1, "y"), (60, "z"))
+    got = merge(trg, src, ["k"], "drop")
+    best = {}
+    for k, v in [tuple(r) for r in trg.collect()]:
+        best[k] = max(best.get(k, ""), v)
+    assert rows(got) == Counter({(k, "y" if k == 1 else v): 1 for k, v in best.items()} | {(60, "z"): 1})
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window " in x]
+    assert len(windows) == 2
+
+
+def test_repeated_source_keys_do_not_multiply_rows(spark, kv):
+    trg, src = kv((1, "a"), (2, "b"), (None, "n")), kv((1, "x"), (1, "y"), (None, "m"))
+    assert rows(refresh_columns(trg, src, ["k"], ["v"])) == Counter([(1, "y")])
+    with pytest.raises(ValueError):
+        refresh_columns(trg, src, ["k"], ["k"])
+    day = [date(2024, 1, 1), FAR]
+    old = spark.createDataFrame([(1, "a", *day), (None, "n", *day)], "k long, v string, date_from date, date_to date")
+    got = rows(scd2(old, src, Scd2(["k"], date(2024, 6, 1))))
+    assert got == Counter([(1, "a", date(2024, 1, 1), date(2024, 5, 31)), (1, "y", date(2024, 6, 1), FAR), (None, "n", date(2024, 1, 1), date(2024, 5, 31)), (None, "m", date(2024, 6, 1), FAR)])

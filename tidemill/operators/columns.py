@@ -33,9 +33,15 @@ def update_by_key(target: DataFrame, source: DataFrame, keys: Sequence[str], del
     return update_by_query(target, rows, keys, [c for c in target.columns if c not in fixed], delta)
 
 
-def refresh_columns(target: DataFrame, source: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The refreshed rows, to be merged by key: target rows met by the source, ``columns`` taken from it."""
-    new, names = aside(source, target, [*keys, *columns])
+def refresh_columns(target: DataFrame, source: DataFrame, keys: Sequence[str], columns: Sequence[str], delta: str | None = None) -> DataFrame:
+    """The refreshed rows, to be merged by key: target rows met by the source, ``columns`` taken from it.
+
+    Of several source rows with a key one counts, as in ``update_by_query``, so
+    no target row is multiplied; null keys meet nothing.
+    """
+    if wrong := set(columns) & set(keys):
+        raise ValueError(f"a key isn't updated: {', '.join(sorted(wrong))}")
+    new, names = aside(one_per_key(source, keys, tie_break(source, delta, keys)), target, [*keys, *columns])
     both = target.join(new, same(keys, names, null_safe=False), "inner")
     return both.select(*[F.col(f"`{names[c]}`").cast(target.schema[c].dataType).alias(c) if c in columns else F.col(f"`{c}`") for c in target.columns])
 

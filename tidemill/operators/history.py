@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, in_order, same, unused
+from .common import aside, in_order, one_per_key, same, tie_break, unused
 
 FAR = date(2999, 1, 1)
 
@@ -28,6 +28,8 @@ class Scd2:
     far: date = FAR
     #: Open rows whose key the source lacks are closed; only right if the source is a whole snapshot.
     detect_deleted: bool = True
+    #: Of several source rows with a key, the one with the greatest value of this column counts, then by all columns.
+    delta: str | None = None
 
     def attributes(self, target: DataFrame) -> list[str]:
         fixed = {*self.keys, *self.ignore, self.start, self.end}
@@ -38,7 +40,8 @@ def _sides(target: DataFrame, source: DataFrame, how: Scd2):
     open_ = target.where(F.col(how.end) == F.lit(how.far))
     body = [f for f in target.schema if f.name not in (how.start, how.end)]
     rows = in_order(source, type(target.schema)(body))
-    return open_, rows
+    # a key that a snapshot repeats opens one row; null keys are keys
+    return open_, one_per_key(rows, how.keys, tie_break(rows, how.delta, how.keys))
 
 
 def classify(target: DataFrame, source: DataFrame, how: Scd2) -> tuple[DataFrame, dict[str, str], str]:

@@ -35,7 +35,19 @@ def _inside(field: Column, parts: Sequence[str], period: str) -> Column:
         end = of_value(datetime.combine(days[-1], time()), period).end
         lo, hi = datetime.combine(days[0], time()), end
         own = (field >= F.lit(lo)) & (field < F.lit(hi)) & start_of(field, period).isin(days)
-    return own | field.isNull() if DEFAULT in parts else own
+    return own | start_of(field, period).isNull() if DEFAULT in parts else own
+
+
+def placed(rows: DataFrame, field: str, period: str, out_of_range: str = "default", first: datetime | None = None) -> DataFrame:
+    """Rows that a partition load takes: rows without a partition stay, are left out or raise."""
+    inside = start_of(F.col(f"`{field}`"), period).isNotNull()
+    if first is not None:
+        inside &= F.col(f"`{field}`") >= F.lit(first)
+    if out_of_range == "skip":
+        return rows.where(inside)
+    if out_of_range == "raise" and not rows.where(~F.coalesce(inside, F.lit(False))).isEmpty():
+        raise OutOfRange(f"rows without a partition by {field}")
+    return rows
 
 
 def load_partitions(
@@ -66,14 +78,7 @@ def load_partitions(
     """
     if out_of_range not in ("default", "skip", "raise"):
         raise ValueError("out_of_range is 'default', 'skip' or 'raise'")
-    rows = in_order(source if where is None else source.where(where), target)
-    inside = F.col(f"`{field}`").isNotNull()
-    if first is not None:
-        inside &= F.col(f"`{field}`") >= F.lit(first)
-    if out_of_range == "skip":
-        rows = rows.where(inside)
-    elif out_of_range == "raise" and not rows.where(~F.coalesce(inside, F.lit(False))).isEmpty():
-        raise OutOfRange(f"rows without a partition by {field}")
+    rows = placed(in_order(source if where is None else source.where(where), target), field, period, out_of_range, first)
     if not keys:
         return rows.distinct() if distinct else rows
     if global_key:
@@ -121,5 +126,6 @@ def drop_range(target: DataFrame, field: str, start: datetime, end: datetime, pe
     return target.where(c.isNull() | (F.date_trunc(period, c) < lo) | (F.date_trunc(period, c) > hi))
 
 
-#: Emptying partitions and dropping them leave the same rows; a store also forgets dropped ones.
-truncate_range = drop_range
+def truncate_range(target: DataFrame, field: str, start: datetime, end: datetime, period: str = "month") -> DataFrame:
+    """The same rows: as a table of rows has no empty partitions, emptying them and dropping them are one."""
+    return drop_range(target, field, start, end, period)
