@@ -244,3 +244,52 @@ def test_streams(world, spark, tmp_path):
     assert [k for k, _ in values(world.store)] == [1, 2, 3, 11, 12, 13]
     got = sessions(world.data.withColumn("t", F.col("t").cast("timestamp")), "t", "2 days", [], "1 day", n="count(*)").collect()
     assert sorted(r.n for r in got) == [1, 2]
+
+
+def test_a_partition_load_opens_touched_partitions_only(world, spark, monkeypatch):
+    world.store.replace("demo.t", world.data)
+    world.data = spark.createDataFrame([(2, D(2024, 2, 7), 20.0)], world.data.schema)
+    read = []
+    real = world.store.read
+    monkeypatch.setattr(world.store, "read", lambda name, parts=None, number=None: read.append((name, parts)) or real(name, parts, number))
+    for load, parts in (("UPDATE_PARTITION", ["2024-02-01"]), ("PARTITION", [])):
+        world.registry.add(world.spec.but(load=load))
+        read.clear()
+        (r,) = world.loader.load(1, D(2024, 2, 1), D(2024, 3, 1))
+        assert [p for n, p in read if n == "demo.t"] == [parts]
+        assert r.written == (2 if load == "UPDATE_PARTITION" else 1)
+
+
+def test_written_counts_the_files_of_the_load(world, spark):
+    world.registry.add(world.spec.but(load="DELTA", new_keys_only=True))
+    assert world.loader.load(1)[0].written == 3
+    world.data = world.data.unionByName(spark.createDataFrame([(4, D(2024, 3, 1), 4.0)], world.data.schema))
+    (r,) = world.loader.load(1)
+    assert (r.row_cnt, r.written) == (2, 1) and values(world.store) == [(1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0)]
+
+
+def test_out_of_range_rows_raise_or_stay_out(world, spark):
+    from tidemill.operators.ranges import OutOfRange
+
+    world.data = spark.createDataFrame([(1, D(2024, 2, 1), 1.0), (2, None, 2.0), (3, D(1999, 1, 1), 3.0)], world.data.schema)
+    how = dict(load="PARTITION", extraction="FULL", mode="FULL", first=D(2024, 1, 1))
+    world.registry.add(world.spec.but(**how, out_of_range="raise"))
+    with pytest.raises(OutOfRange):
+        world.loader.load(1)
+    world.registry.add(world.spec.but(**how, out_of_range="skip"))
+    world.loader.load(1)
+    assert values(world.store) == [(1, 1.0)]
+    with pytest.raises(SpecError):
+        world.spec.but(out_of_range="perhaps")
+
+
+def test_pages_that_fail_block_later_ones(world):
+    world.functions.register("page", lambda p: [(p * 10 + i, D(2024, 1, 1), float(i)) for i in range(3)] if p < 2 else 1 / 0)
+    world.registry.add(world.spec.but(method="paged", load_function="page", source=SourceSpec("pages", splits=2), load="FULL", extraction="FULL"))
+    with pytest.raises(Exception, match="division by zero"):
+        world.loader.load(1)
+    last = world.registry.runs(1)[-1]
+    assert last.status is Status.ERROR and last.row_cnt == -1 and values(world.store) == []
+    world.functions.register("page", lambda p: [(p * 10 + i, D(2024, 1, 1), float(i)) for i in range(3)] if p < 5 else [])
+    world.loader.load(1)
+    assert len(values(world.store)) == 15

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.expressions import external_schema
+from ..operators.common import unused
 from ..functions.variables import expand
 from ..plans.partitions import enumerate_days, split
 from ..spec import Extraction, LoadSpec, SpecError
+from ..store import TableStore
 
 CORRUPT = "_corrupt_record"
 
@@ -23,6 +28,17 @@ class Rejected(RuntimeError):
     """More bad rows than the source may have."""
 
 
+@contextmanager
+def rejecting(name: str) -> Iterator[None]:
+    """Jobs in which a bad row of a text file raises ``Rejected``."""
+    try:
+        yield
+    except Exception as e:
+        if "MALFORMED_RECORD" in str(e):
+            raise Rejected(f"{name}: a bad row, none allowed") from e
+        raise
+
+
 def connection(spec: LoadSpec, values: Mapping[str, object], override: Mapping[str, str] | None = None) -> dict[str, str]:
     """Reader options: an active override beats the object's own; $variables are replaced."""
     own = dict(override) if override is not None else dict(spec.source.options)
@@ -41,7 +57,12 @@ def ranges(spec: LoadSpec, start: datetime | None, end: datetime | None) -> list
 
 
 def read_files(spark: SparkSession, spec: LoadSpec, schema: T.StructType | None, values: Mapping[str, object] = {}) -> DataFrame:
-    """Parquet, ORC, CSV or JSON by explicit schema; bad rows of text formats are counted against the limit."""
+    """Parquet, ORC, CSV or JSON by explicit schema.
+
+    Bad rows of text formats are counted against the limit, for which they are
+    parsed twice; without a limit they are parsed once, and a bad one makes the
+    job fail that reads it (see ``rejecting``).
+    """
     options, path, kind = connection(spec, values), expand(spec.source.path, values), spec.source.format
     if not path:
         raise SpecError(f"{spec.name}: no path")
@@ -50,11 +71,14 @@ def read_files(spark: SparkSession, spec: LoadSpec, schema: T.StructType | None,
     if kind in ("csv", "json"):
         if schema is None:
             raise SpecError(f"{spec.name}: {kind} needs a schema")
-        # kept once parsed: the reader refuses to look at bad rows alone otherwise
-        rows = spark.read.schema(T.StructType([*schema, T.StructField(CORRUPT, T.StringType())])).options(**options).option("columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE").format(kind).load(path)
-        bad = rows.persist().where(F.col(CORRUPT).isNotNull()).count()
+        reader = spark.read.options(**options).format(kind).option("columnPruning", "false")
+        if not spec.source.reject_limit:
+            # one pass: the first bad row ends the job that reads it
+            return reader.schema(schema).option("mode", "FAILFAST").load(path)
+        rows = reader.schema(T.StructType([*schema, T.StructField(CORRUPT, T.StringType())])).option("columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE").load(path)
+        # all columns are looked at, as a row is bad by any of them; nothing is kept between the two passes
+        bad = rows.agg(F.count(F.when(F.col(CORRUPT).isNotNull(), 1)), F.max(F.xxhash64(*[F.col(f"`{f.name}`") for f in schema]))).first()[0]
         if bad > spec.source.reject_limit:
-            rows.unpersist()
             raise Rejected(f"{spec.name}: {bad} bad rows, {spec.source.reject_limit} allowed")
         return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     reader = spark.read.options(**options).format(kind)
@@ -115,6 +139,48 @@ def paged(name: str, schema: str, fetch: Callable[[int], Sequence[tuple]], pages
     return Paged
 
 
+def read_pages(store: TableStore, name: str, fetch: Callable[[int], Sequence[tuple]], wave: int = 16, progress: Callable[[int], None] | None = None) -> int:
+    """Append the pages of a source to a table until one is empty; the number of rows.
+
+    The number of pages need not be known.  Pages of a wave are fetched side by
+    side, a task for each, and become current together.  ``progress`` is told the
+    running number of rows after each wave; -1 if a page fails, and then no later
+    page is fetched.
+    """
+    spark, schema = store.spark, store.version(name).schema
+    (page,) = unused(store.read(name), "_page")
+    kind = to_arrow_schema(T.StructType([T.StructField(page, T.LongType()), *schema]))
+    staged = f"{name}__wave"
+    total, first = 0, 0
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                got = [(n, *r) for r in fetch(n)]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), kind)], schema=kind)
+
+    while True:
+        tasks = spark.range(first, first + wave, 1, wave).mapInArrow(rows, T.StructType([T.StructField(page, T.LongType()), *schema]))
+        try:
+            store.create_as(staged, tasks)
+        except Exception:
+            if progress:
+                progress(-1)
+            raise
+        found = {r[0]: r[1] for r in store.read(staged).groupBy(page).count().collect()}
+        last = next((n for n in range(first, first + wave) if n not in found), None)
+        new = store.read(staged).where(F.col(page) < (first + wave if last is None else last)).drop(page)
+        store.append(name, new)
+        total += sum(c for n, c in found.items() if last is None or n < last)
+        if progress:
+            progress(total)
+        if last is not None:
+            store.drop(staged)
+            return total
+        first += wave
+
+
 class Functions:
     """Callables that configurations name; nothing is imported or run by text."""
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.expressions import extent, extract_condition
 from ..operators import load_partitions, replace_all, upsert
+from ..operators.ranges import touched
 from ..spec import Load, LoadSpec, SpecError
 from ..store import TableStore
 
@@ -34,15 +35,103 @@ def published(sink: DataFrame, rows: DataFrame, spec: LoadSpec) -> DataFrame:
         return replace_all(sink, rows)
     if spec.load is Load.DELTA_UPSERT:
         return upsert(sink, rows, spec.merge_key)
-    return load_partitions(sink, rows, spec.bdate_field, "month", spec.merge_key)
+    return load_partitions(sink, rows, spec.bdate_field, spec.period, spec.merge_key)
 
 
 def to_store(store: TableStore, name: str, rows: DataFrame, spec: LoadSpec) -> None:
-    out = published(store.read(name), rows, spec)
-    if spec.load is Load.UPDATE_PARTITION:
-        store.replace_partitions(name, out)
+    """Publish at another store; of its partitions only touched ones are opened."""
+    v = store.version(name)
+    if spec.load is Load.UPDATE_PARTITION and v.field:
+        parts = touched(rows, v.field, v.period)
+        store.replace_partitions(name, load_partitions(store.read(name, parts), rows, v.field, v.period, spec.merge_key, parts=parts))
     else:
-        store.replace(name, out)
+        store.replace(name, published(store.read(name), rows, spec))
+
+
+class JdbcSink:
+    """Tables of a database that an export's load type keeps up to date.
+
+    Rows go to a stage table by a bounded number of connections.  One
+    transaction then takes the rows that they replace out of the table and
+    puts them in, so readers of the database see the old rows or the new ones.
+    """
+
+    def __init__(self, spark: SparkSession, url: str, properties: Mapping[str, str] = {}, connections: int = 8):
+        self.spark, self.url, self.properties, self.connections = spark, url, dict(properties), connections
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.jdbc(self.url, table, properties=self.properties)
+
+    def statements(self, table: str, stage: str, columns: Sequence[str], spec: LoadSpec) -> list[str]:
+        """SQL that replaces what the staged rows replace: all rows, those of their keys, or of their keys in their partitions."""
+        names = ", ".join(f'"{c}"' for c in columns)
+        gone = {
+            Load.FULL: f"DELETE FROM {table}",
+            Load.DELTA_UPSERT: f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {stage} s WHERE {self._equal(table, spec.merge_key)})",
+            Load.UPDATE_PARTITION: f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {stage} s WHERE {self._equal(table, spec.merge_key)} AND {self._same_part(table, spec)})",
+        }[spec.load]
+        return [gone, f"INSERT INTO {table} ({names}) SELECT {names} FROM {stage}"]
+
+    @staticmethod
+    def _equal(table: str, keys: Sequence[str]) -> str:
+        return " AND ".join(f'({table}."{k}" = s."{k}" OR ({table}."{k}" IS NULL AND s."{k}" IS NULL))' for k in keys)
+
+    @staticmethod
+    def _same_part(table: str, spec: LoadSpec) -> str:
+        units = {"day": ("YEAR", "MONTH", "DAY"), "month": ("YEAR", "MONTH"), "year": ("YEAR",)}.get(spec.period)
+        if units is None:
+            raise SpecError(f"{spec.name}: a database sink has partitions of a day, month or year")
+        c = spec.bdate_field
+        same = " AND ".join(f'{u}({table}."{c}") = {u}(s."{c}")' for u in units)
+        return f'(({same}) OR ({table}."{c}" IS NULL AND s."{c}" IS NULL))'
+
+    def publish(self, table: str, rows: DataFrame, spec: LoadSpec) -> None:
+        check(spec)
+        table = table.replace(".", "_")
+        stage = f"{table}_stage"
+        rows.coalesce(self.connections).write.jdbc(self.url, stage, mode="overwrite", properties=self.properties)
+        connection = self._connect()
+        try:
+            connection.setAutoCommit(False)
+            if not self._exists(connection, table):
+                names = ", ".join(f'"{c}"' for c in rows.columns)
+                self._run(connection, f"CREATE TABLE {table} AS SELECT {names} FROM {stage} WITH NO DATA")
+            for text in self.statements(table, stage, rows.columns, spec):
+                self._run(connection, text)
+            connection.commit()
+            self._run(connection, f"DROP TABLE {stage}")
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
+
+    def _connect(self):
+        jvm = self.spark.sparkContext._jvm
+        properties = jvm.java.util.Properties()
+        for k, v in self.properties.items():
+            properties.setProperty(k, v)
+        return jvm.java.sql.DriverManager.getConnection(self.url, properties)
+
+    @staticmethod
+    def _exists(connection, table: str) -> bool:
+        found = connection.getMetaData().getTables(None, None, None, None)
+        try:
+            while found.next():
+                if found.getString("TABLE_NAME").lower() == table.lower():
+                    return True
+            return False
+        finally:
+            found.close()
+
+    @staticmethod
+    def _run(connection, text: str) -> None:
+        statement = connection.createStatement()
+        try:
+            statement.execute(text)
+        finally:
+            statement.close()
 
 
 def to_jdbc(rows: DataFrame, url: str, table: str, properties: Mapping[str, str] = {}, mode: str = "append", connections: int = 8) -> None:

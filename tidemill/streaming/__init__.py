@@ -3,52 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..loader import STRATEGIES
-from ..spec import Load, LoadSpec
+from ..loader import apply as apply_load
+from ..spec import LoadSpec
 from ..store import TableStore
 
-DONE = "applied"
+#: The mark of a table that holds the number of the last batch applied.
+BATCH = "stream_batch"
 
 
 def load_stream(stream: DataFrame, store: TableStore, spec: LoadSpec, checkpoint: str, before: Callable[[DataFrame], DataFrame] | None = None, once: bool = True) -> StreamingQuery:
-    """Apply a load strategy to each micro-batch of a stream.
+    """Apply a load type to each micro-batch of a stream.
 
-    A batch that Spark delivers again after a failure is applied at most once:
-    the number of the last one published is kept in a table beside the target.
-    Keyed strategies give the same rows if a batch is applied twice, so a crash
-    between the two is harmless for them; appends may opt into ``duplicates="drop"``
-    with a key, which leaves out keys the table has.
+    Each batch is applied once: its number becomes current in the same step as
+    its rows, so a batch that Spark delivers again after a failure is known.
     """
-    marks = f"{spec.name}__batches"
-    if not store.exists(marks):
-        store.create(marks, stream.sparkSession.createDataFrame([], "batch long").schema)
 
     def apply(batch: DataFrame, number: int) -> None:
-        last = store.read(marks).agg(F.max("batch")).first()[0]
-        if last is not None and number <= last:
+        if number <= store.version(spec.name).marks.get(BATCH, -1):
             return
         rows = (before(batch) if before else batch).persist()
         try:
             if not rows.isEmpty():
-                target = store.read(spec.name)
-                if spec.load is Load.DELTA and spec.merge_key and spec.duplicates == "drop":
-                    from ..operators import append
-
-                    store.append(spec.name, append(target, rows, new_keys_only=list(spec.merge_key)))
-                elif spec.load is Load.DELTA:
-                    store.append(spec.name, STRATEGIES[spec.load](target, rows, spec))
-                elif spec.load in (Load.PARTITION, Load.UPDATE_PARTITION):
-                    store.replace_partitions(spec.name, STRATEGIES[spec.load](target, rows, spec))
-                else:
-                    store.replace(spec.name, STRATEGIES[spec.load](target, rows, spec))
+                apply_load(store, spec, rows, date.today(), **{BATCH: number})
         finally:
             rows.unpersist()
-        store.replace(marks, batch.sparkSession.createDataFrame([(number,)], "batch long"))
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
