@@ -513,15 +513,12 @@ def load_windows_safety(spark, d):
 
 @query("WITH specs(object_id, object_name, load_group) AS (VALUES (1, 'a', 'g'), (2, 'b', 'g'), (3, 'c', 'h')), runs(object_id, load_id, status) AS (VALUES (1, 10, 3), (1, 11, -1), (3, 12, 1)), words(status, status_name) AS (VALUES (-1, 'ERROR'), (1, 'NEW'), (2, 'IN_PROCESS'), (3, 'SUCCESS')) SELECT CAST(s.object_id AS BIGINT) AS object_id, s.object_name, s.load_group, CAST(r.load_id AS BIGINT) AS load_id, w.status_name FROM specs s LEFT JOIN runs r ON s.object_id = r.object_id LEFT JOIN words w ON r.status = w.status")
 def load_status_view(spark, d):
-    import tempfile
-
     from .files import shared
     from .loader import Loader
     from .registry import Registry, Run
     from .store import TableStore
 
-    # the registry is the driver's alone; nothing in it is read by executors
-    reg = Registry(tempfile.mkdtemp(), clock=lambda: ts(2024, 6, 1, 12))
+    reg = Registry(shared(spark, "status"), lambda: ts(2024, 6, 1, 12), spark)
     for i, name, group in ((1, "a", "g"), (2, "b", "g"), (3, "c", "h"), (4, "d", None)):
         reg.add(LoadSpec(i, name, group=group))
     reg.add(LoadSpec(5, "off", group="g", active=False))
