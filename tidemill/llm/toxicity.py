@@ -141,10 +141,11 @@ def gradients(p: dict[str, np.ndarray], texts: list[tuple[np.ndarray, np.ndarray
     rows, grads = np.concatenate(rows), np.concatenate(grads)
     use = live[rows]
     for name, index in (("word", word), ("head", head)):
-        ids, back = np.unique(index[rows[use]], return_inverse=True)
-        sums = np.zeros((len(ids), DIM), p[name].dtype)
-        np.add.at(sums, back, grads[use])
-        g[name] = (ids, sums)
+        own = index[rows[use]]
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        g[name] = (own[start], np.add.reduceat(grads[use][order], start, axis=0).astype(p[name].dtype))
     return loss, g
 
 
