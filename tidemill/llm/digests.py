@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,8 +209,16 @@ def similarity(a: str, b: str, n_a: str, n_b: str) -> Column:
     """Score of two digest columns with their feature counts; null if one is null or empty."""
 
     def score(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
-        rows = zip(x.to_pylist(), y.to_pylist(), n.to_pylist(), m.to_pylist())
-        return pa.array([overlap(p, q, i, j) if p and q else None for p, q, i, j in rows], pa.float64())
+        size = np.stack([pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in (n, m)]).astype(np.int64)
+        has = np.flatnonzero((size > 0).all(axis=0) & pc.and_(pc.is_valid(x), pc.is_valid(y)).to_numpy(zero_copy_only=False))
+        out = np.full(len(x), np.nan)
+        if len(has):
+            some = pa.array(has)
+            body = raw(pa.concat_arrays([x.take(some), y.take(some)]))[0].reshape(-1, FILTER)
+            own = size[:, has].ravel()
+            chain = -(-own // FULL)
+            out[has] = scores(np.arange(len(has)), len(has) + np.arange(len(has)), body, np.cumsum(chain) - chain, own)
+        return pa.array(out, pa.float64(), from_pandas=True)
 
     return F.arrow_udf(score, "double")(a, b, n_a, n_b)
 
