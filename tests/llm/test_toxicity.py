@@ -130,3 +130,15 @@ def test_repeated_ids_do_not_break_the_bound(docs_of, spark, words, monkeypatch)
     docs = docs_of([(k % 4, words.text(9)) for k in range(400)])
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(4)], "doc_id long, quality int, toxic int")
     assert classify(docs, labels, sample=2).count() == 400 and max(seen) == 4
+
+
+def test_a_kept_model_scores_alike(corpus, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "UPDATES", 20)
+    _, docs, labels = corpus
+    model = train(docs, labels)
+    toxicity.save(model, spark, str(tmp_path / "model"))
+    again = toxicity.load(spark, str(tmp_path / "model"))
+    assert again.thresholds == model.thresholds and again.default == model.default
+    monkeypatch.setattr(toxicity, "train", None)
+    assert sorted(map(tuple, classify(docs, None, model=again).collect())) == sorted(map(tuple, classify(docs, None, model=model).collect()))
+    assert drop_toxic(docs, None, model=again).count() == drop_toxic(docs, None, model=model).count()

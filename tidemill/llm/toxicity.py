@@ -12,13 +12,14 @@ fewer toxic documents the language has.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, fresh, hashes, normal, pieces, word_codes
@@ -269,22 +270,36 @@ def limit(model: Model) -> Column:
     return c
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """Keep a fitted model, a few MB, in a folder that executors share."""
+    arrays = {"word": model.word, "head": model.head, "bias": model.bias, "out": model.out} | {f"f{k}": f for k, f in enumerate(model.filters)}
+    packed = io.BytesIO()
+    np.savez_compressed(packed, base=model.base, default=model.default, names=np.array(sorted(model.thresholds), str), cuts=np.array([model.thresholds[x] for x in sorted(model.thresholds)]), **arrays)
+    spark.createDataFrame([(bytearray(packed.getvalue()),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    x = np.load(io.BytesIO(bytes(spark.read.parquet(path).first()[0])))
+    thresholds = dict(zip(x["names"].tolist(), x["cuts"].tolist()))
+    return Model(x["word"], x["head"], [x[f"f{k}"] for k in range(len(WIDTHS))], x["bias"], x["out"], float(x["base"]), thresholds, float(x["default"]))
+
+
+def classify(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, model: Model | None = None) -> DataFrame:
     """(doc_id, lang, score, threshold, toxic) for every row of ``docs``.
 
     Null and empty texts score 0 and aren't toxic; texts of any length are
     read whole, and an empty table gives no rows.  A score equal to its
     threshold isn't toxic.  A null or unknown language has the threshold of
     all languages.  Null ids and repeated rows are scored like others; extra
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names.  With a ``model`` nothing is fitted.
     """
-    model = train(docs, labels, sample)
+    model = model or train(docs, labels, sample)
     rows = docs.select("doc_id", "lang", scored(model).alias("score"), limit(model).alias("threshold"))
     return rows.withColumn("toxic", F.col("score") > F.col("threshold"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, model: Model | None = None) -> DataFrame:
     """``docs`` without the rows that ``classify`` calls toxic; null and empty texts stay, and so do all columns."""
-    model = train(docs, labels, sample)
+    model = model or train(docs, labels, sample)
     (s,) = fresh(docs, "_score")
     return docs.withColumn(s, scored(model)).where(F.col(s) <= limit(model)).drop(s)
