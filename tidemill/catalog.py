@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .files import Files, LocalFiles
 from .registry import Registry
 from .spec import Extraction, Load, Method, Mode, Status
 from .store import TableStore
@@ -37,13 +38,14 @@ def ddl(store: TableStore, name: str) -> str:
 
 
 def dump(root: str | Path, store: TableStore | None = None, registry: Registry | None = None, spark: SparkSession | None = None) -> list[str]:
-    """Write a folder for each kind of object and a changelog that includes all files; their names."""
-    root, made = Path(root), []
+    """Write a folder for each kind of object and a changelog that includes all files; their names.
+
+    With a session, the path may name any file system, and the catalog's tables and views are written too.
+    """
+    files, made = Files(spark, str(root)) if spark else LocalFiles(root), []
 
     def put(name: str, text: str) -> None:
-        path = root / name
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(text)
+        files.replace(name, text)
         made.append(name)
 
     if store:

@@ -7,11 +7,12 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog, demo
 from .contract import query, t, ts
 from .files import shared
 from .functions import names, session
 from .loader import Loader
-from .operators import Scd2, ranges, refresh_columns, scd2
+from .operators import Scd2, keep_by_query, ranges, refresh_columns, scd2, united
 from .plans.periods import Period
 from .registry import Chain, Registry
 from .sources.readers import Functions, read_jdbc, read_pages
@@ -547,3 +548,108 @@ def stream_sessions(spark, d):
     out = sessions(e, "ts", "2 days", ["user_id"], "1 day", n="count(*)")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
+
+
+# -- demo loads, hooks, and what is left of the inventory
+
+
+@query("SELECT 'star.customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'star.lineitem', count(*) FROM lineitem UNION ALL SELECT 'star.nation', count(*) FROM nation UNION ALL SELECT 'star.orders', count(*) FROM orders UNION ALL SELECT 'star.part', count(*) FROM part UNION ALL SELECT 'star.region', count(*) FROM region UNION ALL SELECT 'star.supplier', count(*) FROM supplier")
+def demo_star(spark, d):
+    w = World(spark)
+    demo.install_star(w.loader, d)
+    w.loader.run_chain("star")
+    out = [(n, w.store.read(n).count()) for n in w.store.tables() if n.startswith("star.")]
+    return spark.createDataFrame(out, "name string, n long")
+
+
+@query("SELECT CAST(p * 20 + i AS BIGINT) AS id, 'page ' || p AS page FROM range(5) AS a(p), range(20) AS b(i)")
+def demo_paged(spark, d):
+    w = World(spark)
+    demo.install_paged(w.loader)
+    w.loader.run_group("demo", workers=1)
+    return w.store.read("demo.paged")
+
+
+@query("SELECT CAST(2000 AS BIGINT) AS n, CAST(2000 AS BIGINT) AS keys, TRUE AS dates_in_range, TRUE AS prices_in_range, TRUE AS same_again")
+def demo_rows(spark, d):
+    rows, again = demo.source(spark, 2000), demo.source(spark, 2000).repartition(7)
+    near = F.max(F.datediff(F.lit(date(2024, 6, 1)), "date_column")) <= 90
+    same = rows.exceptAll(again).isEmpty()
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("int_column").alias("keys"), near.alias("dates_in_range"), (F.max("decimal_column") <= 1000).alias("prices_in_range")).withColumn("same_again", F.lit(same))
+
+
+@query("SELECT * FROM (VALUES ('chains.json'), ('changelog.yaml'), ('constants.json'), ('dependencies.json'), ('dictionaries/extraction.json'), ('dictionaries/load.json'), ('dictionaries/method.json'), ('dictionaries/mode.json'), ('dictionaries/status.json'), ('objects/1.json'), ('tables/demo.nation.sql')) AS v(file)")
+def dump_files(spark, d):
+    w = World(spark)
+    w.table("demo.nation", t(spark, d, "nation"))
+    w.registry.add(LoadSpec(1, "demo.nation"))
+    made = catalog.dump(f"{w.root}/dump", w.store, w.registry, spark)
+    return spark.createDataFrame([(n,) for n in made if not n.startswith(("tables/", "views/")) or n.startswith("tables/demo.")], "file string")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT CAST(-1 AS INTEGER), 'loaded by run ' || 1, CAST(25 AS INTEGER)")
+def load_hooks(spark, d):
+    """After the load a hook adds a row about it; then a load function does all by itself."""
+    w, n = World(spark), t(spark, d, "nation")
+    w.store.create("demo.nation", n.schema)
+
+    def hook(context):
+        row = [(-1, f"loaded by run {context.run.load_id}", context.run.row_cnt)]
+        context.store.append("demo.nation", spark.createDataFrame(row, "n_nationkey int, n_name string, n_regionkey int"))
+        return True
+
+    w.functions.register("hook", hook)
+    w.source(n, LoadSpec(1, "demo.nation", after_load="hook"))
+    w.loader.load(1)
+    return w.store.read("demo.nation")
+
+
+@query("SELECT * FROM region WHERE r_regionkey < 3")
+def load_python(spark, d):
+    w, r = World(spark), t(spark, d, "region")
+    w.store.create("demo.region", r.schema)
+    w.functions.register("own", lambda c, top: c.store.replace("demo.region", r.where(f"r_regionkey < {top}")) is None)
+    w.registry.add(LoadSpec(1, "demo.region", method="python", load_function="own(3)"))
+    (run,) = w.loader.load(1)
+    assert run.status is Status.SUCCESS
+    return w.store.read("demo.region")
+
+
+@query("SELECT * FROM nation WHERE n_nationkey < 5")
+def load_with_retry(spark, d):
+    """A chain's object that fails once is tried again."""
+    w, n, tries = World(spark), t(spark, d, "nation"), []
+
+    def rows(_):
+        tries.append(1)
+        if len(tries) == 1:
+            raise OSError("away")
+        return n.where("n_nationkey < 5")
+
+    w.functions.register("rows", rows)
+    w.store.create("demo.nation", n.schema)
+    w.registry.add(LoadSpec(1, "demo.nation", load_function="rows"))
+    w.registry.chains["c"] = Chain("c", "1")
+    assert w.loader.run_chain("c").status is Status.SUCCESS and len(tries) == 2
+    return w.store.read("demo.nation")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS load_id, TIMESTAMP '2024-01-01' AS extraction_from, TIMESTAMP '2024-02-01' AS extraction_to")
+def open_window(spark, d):
+    """Of the windows not begun, the earliest within the bounds."""
+    w = World(spark)
+    w.registry.add(ORDERS.but(mode="ITER", interval=Period.of(1, "month")))
+    w.registry.plan(1, ts(2024, 1, 1), ts(2024, 4, 1))
+    r = w.registry.open_run(1, ts(2024, 1, 1), ts(2024, 3, 1))
+    return spark.createDataFrame([(r.load_id, r.extraction_from, r.extraction_to)], "load_id long, extraction_from timestamp_ntz, extraction_to timestamp_ntz")
+
+
+@query("SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def semi_by_key(spark, d):
+    c = t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return keep_by_query(t(spark, d, "orders"), c.unionByName(c), ["o_custkey"])
+
+
+@query("SELECT n_regionkey FROM nation UNION SELECT r_regionkey FROM region")
+def union_distinct(spark, d):
+    return united([t(spark, d, "nation").select("n_regionkey"), t(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"))], distinct=True)

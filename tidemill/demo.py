@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .loader import Loader
 from .plans.periods import Period
+from .registry import Chain
 from .spec import Grouping, LoadSpec, SourceSpec
 
 FIELDS = "int_column int, text_column string, char_column string, decimal_column decimal(10,2), json_column string, array_text_column array<string>, date_column date, timestamp_column timestamp_ntz"
@@ -50,7 +51,33 @@ def install(loader: Loader, csv: str | None = None, rows: int = 10_000, day: dat
     return [s.object_id for s in registry.active("demo")]
 
 
-def uninstall(loader: Loader) -> None:
-    for s in loader.registry.active("demo"):
+#: Tables of the star demo: what is small and loaded whole, and facts with their date.
+DICTIONARIES = ("region", "nation", "customer", "supplier", "part")
+FACTS = {"orders": "o_orderdate", "lineitem": "l_shipdate"}
+
+
+def install_star(loader: Loader, folder: str, first: int = 11) -> Chain:
+    """A star schema from Parquet files: dictionaries side by side, then facts by month; the chain that loads it."""
+    spark, store, registry = loader.spark, loader.store, loader.registry
+    path = lambda t: f"{folder}/{t}.parquet"
+    for k, t in enumerate((*DICTIONARIES, *FACTS), first):
+        field = FACTS.get(t)
+        store.create(f"star.{t}", spark.read.parquet(path(t)).schema, field, "month" if field else None, replace=True)
+        load = dict(load="PARTITION", bdate_field=field, group="facts") if field else dict(group="dictionaries")
+        registry.add(LoadSpec(k, f"star.{t}", method="files", source=SourceSpec("parquet", path(t)), **load))
+    ids = lambda group: ",".join(str(s.object_id) for s in registry.active(group))
+    registry.chains["star"] = Chain("star", f"[{ids('dictionaries')}]>>[{ids('facts')}]", description="dictionaries, then facts")
+    return registry.chains["star"]
+
+
+def install_paged(loader: Loader, pages: int = 5, rows: int = 20, object_id: int = 31) -> LoadSpec:
+    """A table from a source that hands out pages until one is empty."""
+    loader.store.create("demo.paged", loader.spark.createDataFrame([], "id long, page string").schema, replace=True)
+    loader.functions.register("demo_page", lambda p: [(p * rows + i, f"page {p}") for i in range(rows)] if p < pages else [])
+    return loader.registry.add(LoadSpec(object_id, "demo.paged", method="paged", load_function="demo_page", source=SourceSpec("pages", splits=3), group="demo"))
+
+
+def uninstall(loader: Loader, *groups: str) -> None:
+    for s in [s for g in groups or ("demo",) for s in loader.registry.active(g)]:
         loader.registry.remove(s.object_id)
         loader.store.drop(s.name)

@@ -51,5 +51,11 @@ def delete_by_query(target: DataFrame, query: DataFrame, keys: Sequence[str]) ->
     return without(target, query, keys)
 
 
+def keep_by_query(target: DataFrame, query: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Target rows whose key the query has, each once however often it has it; null keys are equal."""
+    new, names = aside(query, target, keys)
+    return target.join(new, same(keys, names), "left_semi")
+
+
 def upsert_by_query(target: DataFrame, query: DataFrame, keys: Sequence[str]) -> DataFrame:
     return upsert(target, in_order(query, target), keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 
 from .common import in_order, without
@@ -27,3 +29,11 @@ def append(target: DataFrame, source: DataFrame, where: Column | str | None = No
     if new_keys_only:
         rows = without(rows, target, new_keys_only)
     return rows
+
+
+def united(frames: Sequence[DataFrame], distinct: bool = False) -> DataFrame:
+    """Rows of several tables by the names, order and types of the first; ``distinct`` leaves each row once."""
+    first, *rest = frames
+    for df in rest:
+        first = first.unionByName(in_order(df, first))
+    return first.distinct() if distinct else first
