@@ -53,8 +53,10 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.createDataFrame([], "o_custkey long, month timestamp_ntz, total decimal(18,2), orders long").schema
     how = dict(transforms={"month": "date_trunc('month', o_orderdate)", "total": "sum(cast(o_totalprice as decimal(18,2)))", "orders": "count(*)"}, grouping=Grouping(("o_custkey", "month")))
     old = project(orders.where(F.col("o_orderdate") < F.lit(ts(2001, 6, 15))), schema, **how)
-    new = project(orders.where(F.col("o_orderdate") >= F.lit(ts(2001, 5, 1))), schema, **how)
-    return ranges.whole(old, new, "month", keys=["o_custkey"])
+    late = orders.where(F.col("o_orderdate") >= F.lit(ts(2001, 5, 1)))
+    new = project(late, schema, **how)
+    # the months are those of the rows that are summed, so nothing is summed to find them
+    return ranges.whole(old, new, "month", keys=["o_custkey"], parts=ranges.touched(late, "o_orderdate", "month"))
 
 
 _GROUPED = "SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total, count(*) AS orders FROM orders"

@@ -103,11 +103,12 @@ def untouched(target: DataFrame, field: str, period: str, parts: Sequence[str])
 def whole(target: DataFrame, source: DataFrame, field: str, period: str = "month", **how) -> DataFrame:
     """The table after ``load_partitions``: what the source doesn't touch, and the new rows of what it does.
 
-    With a global key the new rows are all there is.
+    With a global key the new rows are all there is.  ``parts`` saves the look
+    at which partitions the source touches, if that is known or cheaper to find elsewhere.
     """
     if how.get("global_key"):
         return load_partitions(target, source, field, period, **how)
-    parts = touched(source if how.get("where") is None else source.where(how["where"]), field, period)
+    parts = how.pop("parts", None) or touched(source if how.get("where") is None else source.where(how["where"]), field, period)
     return untouched(target, field, period, parts).unionByName(load_partitions(target, source, field, period, parts=parts, **how))
 
 
