@@ -89,7 +89,7 @@ class JdbcSink:
         check(spec)
         table = table.replace(".", "_")
         stage = f"{table}_stage"
-        rows.coalesce(self.connections).write.jdbc(self.url, stage, mode="overwrite", properties=self.properties)
+        to_jdbc(rows, self.url, stage, self.properties, "overwrite", self.connections)
         connection = self._connect()
         try:
             connection.setAutoCommit(False)
