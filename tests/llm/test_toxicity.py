@@ -40,12 +40,12 @@ def corpus(docs_of, spark, words):
 def test_held_out_documents(corpus, monkeypatch):
     monkeypatch.setattr(toxicity, "UPDATES", 300)
     rows, docs, labels = corpus
-    got = {r.doc_id: r for r in classify(docs, labels).collect()}
+    model = train(docs, labels)
+    got = {r.doc_id: r for r in classify(docs, labels, model=model).collect()}
     right = sum(got[i].toxic == (i % 4 == 0) for i in range(320, 400))
     assert right >= 76
-    kept = {r.doc_id for r in drop_toxic(docs, labels).collect()}
+    kept = {r.doc_id for r in drop_toxic(docs, labels, model=model).collect()}
     assert kept == {i for i, r in got.items() if not r.toxic}
-    model = train(docs, labels)
     assert set(model.thresholds) == {"en", "de"} and len({model.default, *model.thresholds.values()}) == 3
 
 
