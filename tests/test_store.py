@@ -163,3 +163,16 @@ def test_keys_and_statistics_are_kept(store, spark):
     assert store.known_statistics("t") is None
     with pytest.raises(ValueError):
         store.create("u", rows.schema, keys=["x"])
+
+
+def test_options_of_a_table(store, spark):
+    rows = spark.range(10)
+    store.create("t", rows.schema, compression="gzip")
+    store.create_like("u", "t")
+    store.create("v", rows.schema, temporary=True)
+    for n in ("t", "u", "v"):
+        store.replace(n, rows)
+    assert all(f.endswith(".gz.parquet") for n in ("t", "u") for f in store.read(n).inputFiles())
+    assert all(f.endswith(".zstd.parquet") for f in store.read("v").inputFiles()) and store.describe("t")["compression"] == "gzip"
+    store.close()
+    assert store.tables() == ["t", "u"]

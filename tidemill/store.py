@@ -43,9 +43,11 @@ class Version:
     keys: tuple[str, ...] = ()
     #: What a writer wants to keep with the data, such as the last batch of a stream.
     marks: dict[str, int] = dataclasses.field(default_factory=dict)
+    #: Of this table's files, if it isn't that of the store.
+    compression: str | None = None
 
     def text(self) -> str:
-        return json.dumps({"number": self.number, "schema": self.schema.jsonValue(), "field": self.field, "period": self.period, "parts": self.parts, "previous": self.previous, "keys": list(self.keys), "marks": self.marks})
+        return json.dumps({"number": self.number, "schema": self.schema.jsonValue(), "field": self.field, "period": self.period, "parts": self.parts, "previous": self.previous, "keys": list(self.keys), "marks": self.marks, "compression": self.compression})
 
     @staticmethod
     def of(text: str) -> Version:
@@ -58,6 +60,7 @@ class TableStore:
 
     def __init__(self, spark: SparkSession, root: str, compression: str = "zstd", rows_per_file: int = 0):
         self.spark, self.root, self.compression, self.rows_per_file = spark, root.rstrip("/"), compression, rows_per_file
+        self._temporary: set[str] = set()
 
     def _files(self, name: str) -> Files:
         return Files(self.spark, f"{self.root}/{name}")
@@ -71,11 +74,12 @@ class TableStore:
             raise TableMissing(name)
         return Version.of(files.read(f"v{number}.json" if number is not None else CURRENT))
 
-    def create(self, name: str, schema: T.StructType, field: str | None = None, period: str | None = None, replace: bool = False, keys: Sequence[str] = ()) -> None:
+    def create(self, name: str, schema: T.StructType, field: str | None = None, period: str | None = None, replace: bool = False, keys: Sequence[str] = (), compression: str | None = None, temporary: bool = False) -> None:
         """An empty table, partitioned by a period of ``field`` if one is named.
 
         ``keys`` spread rows over files and sort them there, so that readers of
-        a few keys skip what the files' statistics exclude.
+        a few keys skip what the files' statistics exclude.  ``temporary`` tables
+        go with ``close``.
         """
         if field:
             segments(period or "")
@@ -84,13 +88,20 @@ class TableStore:
         if self.exists(name) and not replace:
             raise ValueError(f"{name} exists")
         number = self.version(name).number + 1 if self.exists(name) else 1
-        self._publish(name, Version(number, schema, field, period, {}, number - 1 or None, tuple(keys)))
+        self._publish(name, Version(number, schema, field, period, {}, number - 1 or None, tuple(keys), compression=compression))
+        if temporary:
+            self._temporary.add(name)
+
+    def close(self) -> None:
+        """Drop the temporary tables that this store made."""
+        while self._temporary:
+            self.drop(self._temporary.pop())
 
     def create_like(self, name: str, other: str, replace: bool = True) -> None:
         if name == other:
             raise ValueError("a table can't be made like itself")
         v = self.version(other)
-        self.create(name, v.schema, v.field, v.period, replace, v.keys)
+        self.create(name, v.schema, v.field, v.period, replace, v.keys, v.compression)
 
     def create_as(self, name: str, df: DataFrame, field: str | None = None, period: str | None = None) -> int:
         """A table of a query's rows; the number of rows."""
@@ -124,7 +135,7 @@ class TableStore:
         if v.keys:
             by = [F.col(f"`{k}`") for k in v.keys]
             rows = rows.repartition(*by).sortWithinPartitions(*([key(F.col(f"`{v.field}`"), v.period)] if v.field else []), *by)
-        writer = lambda x: x.write.option("compression", self.compression).option("maxRecordsPerFile", self.rows_per_file)
+        writer = lambda x: x.write.option("compression", v.compression or self.compression).option("maxRecordsPerFile", self.rows_per_file)
         if not v.field:
             writer(rows).parquet(f"{self.root}/{name}/{batch}")
             return {"": [batch]}
@@ -211,7 +222,7 @@ class TableStore:
 
     def describe(self, name: str) -> dict[str, object]:
         v = self.version(name)
-        return {"format": "parquet", "compression": self.compression, "version": v.number, "partition_key": v.field, "period": v.period, "partitions": len(v.parts), "keys": list(v.keys), "columns": {f.name: f.dataType.simpleString() for f in v.schema}}
+        return {"format": "parquet", "compression": v.compression or self.compression, "version": v.number, "partition_key": v.field, "period": v.period, "partitions": len(v.parts), "keys": list(v.keys), "columns": {f.name: f.dataType.simpleString() for f in v.schema}}
 
     def replace_partitions(self, name: str, df: DataFrame, **marks: int) -> list[str]:
         """Partitions for which ``df`` has rows; the others keep their files.  The names of those replaced."""
