@@ -3,7 +3,7 @@ import pyarrow as pa
 from conftest_llm import edge_rows
 
 from tidemill.llm.common import raw
-from tidemill.llm.digests import BITS, DULL, FILTER, NEAR, POINTS, STEPS, WINDOW, compare, digest, entropy_steps, features, filters, matches, overlap, ranks
+from tidemill.llm.digests import BITS, DULL, FILTER, NEAR, POINTS, STEPS, WINDOW, compare, digest, entropy_steps, features, filters, links, matches, overlap, ranks
 from tidemill.llm.queries import op6_fingerprints
 
 
@@ -120,7 +120,41 @@ def test_matches_are_all_pairs_with_a_common_feature(docs_of, words):
     assert matches(docs.where("false")).count() == 0
 
 
-def test_query_returns_scored_pairs(spark, docs_of, words, tmp_path):
+def test_query_returns_a_row_for_each_document(spark, docs_of, words, tmp_path):
     base = words.text(300)
     docs_of([(1, base), (2, base), (3, words.text(300))]).write.parquet(str(tmp_path / "documents.parquet"))
-    assert [tuple(r) for r in op6_fingerprints(spark, str(tmp_path)).collect()] == [(1, 2, 100.0)]
+    rows = sorted(tuple(r) for r in op6_fingerprints(spark, str(tmp_path)).collect())
+    assert rows == [(1, 1, 1, 2, 100.0), (2, 1, 1, 1, 100.0), (3, 3, 0, None, None)]
+
+
+def test_links_are_those_of_all_pairs(docs_of, words):
+    part, whole = words.text(90), words.text(150)
+    texts = [f"{words.text(60)} {part} {words.text(60)}" for _ in range(9)] + [whole] * 7 + [words.text(80) for _ in range(5)] + [whole + " " + words.text(1500)] * 2
+    rows = [(i - 4, t) for i, t in enumerate(texts)] + [(3, texts[3]), (12, texts[0]), (12, texts[1]), (None, whole), (90, None), (91, "short"), (92, "z" * 300), (93, texts[20])]
+    docs = docs_of(rows, "n s t class_id links best")
+    met = {}
+    for r in matches(docs).collect():
+        for x, y in ((r.a, r.b), (r.b, r.a)):
+            met.setdefault(x, []).append((-round(r.score, 6), y))
+    ids = {k for k, _ in rows if k is not None}
+    for side in (2, 512):
+        got = {r.doc_id: r for r in links(docs, side=side).collect()}
+        assert set(got) == ids
+        for k, r in got.items():
+            assert r.n_links == len(met.get(k, []))
+            assert (r.score is None and r.nearest is None) if k not in met else (-r.score, r.nearest) == min(met[k])
+        same = {}
+        for k in ids:
+            if got[k].n_links:
+                same.setdefault(tuple(sorted({t for i, t in rows if i == k})), set()).add(k)
+        assert all(got[k].class_id == min(c) for c in same.values() for k in c)
+        assert all(got[k].class_id == k for k in (90, 91, 92))
+    assert links(docs.where("false")).count() == 0
+
+
+def test_rows_follow_documents_where_all_share_a_passage(docs_of, words):
+    part = words.text(90)
+    docs = docs_of([(k, f"{words.text(30)} {part} {words.text(30)}") for k in range(120)])
+    got = links(docs, side=16).collect()
+    assert len(got) == 120 and {r.n_links for r in got} == {119}
+    assert matches(docs, side=16).count() == 120 * 119 // 2
