@@ -142,3 +142,54 @@ def test_a_kept_model_scores_alike(corpus, spark, tmp_path, monkeypatch):
     monkeypatch.setattr(toxicity, "train", None)
     assert sorted(map(tuple, classify(docs, None, model=again).collect())) == sorted(map(tuple, classify(docs, None, model=model).collect()))
     assert drop_toxic(docs, None, model=again).count() == drop_toxic(docs, None, model=model).count()
+
+
+def test_all_labelled_documents_are_trained_on(docs_of, spark, words, monkeypatch):
+    monkeypatch.setattr(toxicity, "UPDATES", 1)
+    seen = []
+    real = toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda texts, toxic, seed=3: seen.append(len(texts)) or real(texts, toxic, seed))
+    docs = docs_of([(k, words.text(2)) for k in range(6110)])
+    train(docs, spark.createDataFrame([(k, 1, int(k < 10)) for k in range(6110)], "doc_id long, quality int, toxic int"))
+    assert max(seen) == 6110
+
+
+def test_shards_train_on_all_and_do_not_depend_on_partitions(corpus, monkeypatch):
+    monkeypatch.setattr(toxicity, "UPDATES", 100)
+    monkeypatch.setattr(toxicity, "ALONE", 160)
+    rows, docs, labels = corpus
+    labels = labels.unionByName(labels.where("doc_id < 50"))
+    again = docs.unionByName(docs.where("doc_id < 30")).repartition(5)
+    trained, scored_docs = [], []
+    averaged, thresholds = toxicity._averaged, toxicity._thresholds
+    monkeypatch.setattr(toxicity, "_averaged", lambda nets, changes: trained.append({(c["net"], c["shard"]): c["docs"] for c in changes if c["name"] == "base"}) or averaged(nets, changes))
+    monkeypatch.setattr(toxicity, "_thresholds", lambda model, score, *rest: scored_docs.append(len(score)) or thresholds(model, score, *rest))
+    monkeypatch.setattr(toxicity, "_train", None)
+    model, other = train(docs, labels), train(again, labels)
+    assert scored_docs == [320, 320]
+    for t in trained:
+        by_net = [sum(n for (net, _), n in t.items() if net == k) for k in range(3)]
+        assert by_net[0] == 320 == by_net[1] + by_net[2] and len({shard for _, shard in t}) == 2
+    assert model.thresholds == other.thresholds and model.default == other.default and (model.word == other.word).all()
+    got = {r.doc_id: r.toxic for r in classify(docs, None, model=model).collect()}
+    assert sum(got[i] == (i % 4 == 0) for i in range(320, 400)) >= 76
+
+
+def test_edges_of_shards(docs_of, spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "UPDATES", 3)
+    monkeypatch.setattr(toxicity, "ALONE", 1)
+    monkeypatch.setattr(toxicity, "NEARBY", 0)
+    docs = docs_of(edge_rows(), "score threshold toxic _score word head shard h codes seq")
+    some = spark.createDataFrame([(8, 1, 1), (9, 1, 0), (8, 1, 0), (6, 0, None), (None, 1, 1), (77, 1, 1), (1, 1, 0), (5, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    for labels in (some, some.where("doc_id IN (5, 9)"), some.where("doc_id IN (1, 2, 7)")):
+        assert classify(docs, labels).count() == len(edge_rows())
+
+
+def test_weighted_gradients():
+    r = np.random.default_rng(4)
+    p = parameters(r)
+    texts = [(r.integers(0, 40, n), r.integers(0, 12, n)) for n in (3, 5)]
+    toxic = np.array([1.0, 0])
+    loss, g = gradients(p, texts, toxic, np.array([3.0, 0]))
+    one, h = gradients(p, texts[:1], toxic[:1])
+    assert loss == pytest.approx(1.5 * one) and np.allclose(g["out"], 1.5 * h["out"])
