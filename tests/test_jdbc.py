@@ -11,8 +11,9 @@ import pyspark
 import pytest
 
 from tidemill.sources import embedded
+from tidemill.sources.readers import read_jdbc
 from tidemill.sources.sinks import JdbcSink, to_jdbc
-from tidemill.spec import LoadSpec
+from tidemill.spec import LoadSpec, SourceSpec
 
 ROOT, DATA = Path(__file__).resolve().parent.parent, Path("/root/testdata/sf0.001")
 CLUSTER = """
@@ -52,6 +53,12 @@ def test_export_where_tasks_run_in_other_processes(tmp_path):
     assert not wrong and n
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_load_where_tasks_run_in_other_processes(tmp_path):
+    wrong, n = on_a_cluster("load_jdbc", tmp_path)
+    assert not wrong and n
+
+
 @pytest.fixture
 def url(tmp_path):
     return f"jdbc:derby:{tmp_path}/db;create=true"
@@ -100,6 +107,23 @@ def test_rows_by_way_of_the_driver(spark, url, monkeypatch, java8):
         spark.conf.set(embedded.JAVA8, old)
 
 
+def test_ranges_by_way_of_the_driver(spark, url, monkeypatch):
+    """Each range by a query of its own; rows of no range, null ones among them, stay out."""
+    rows = [(i, datetime(2024, 1, 1 + i, 12)) for i in range(20)] + [(99, None)]
+    to_jdbc(spark.createDataFrame(rows, "k long, t timestamp_ntz"), url, "days", mode="overwrite", connections=1)
+    source = SourceSpec("jdbc", options={"url": url, "dbtable": "days", "preferTimestampNTZ": "true"}, splits=4, rename={"t": '"t"'})
+    spec = LoadSpec(1, "x.days", "DELTA", "DELTA", ("k",), "t", mode="DELTA", method="jdbc", source=source)
+    window = datetime(2024, 1, 3), datetime(2024, 1, 13)
+    there, whole = read_jdbc(spark, spec, {}, *window), read_jdbc(spark, spec, {})
+    monkeypatch.setattr(embedded, "driver_only", lambda *_: True)
+    monkeypatch.setattr(embedded, "BLOCK", 3)
+    got = read_jdbc(spark, spec, {}, *window)
+    assert got.schema == there.schema and sorted(got.collect()) == sorted(there.collect()) and sorted(r.k for r in got.collect()) == list(range(2, 12))
+    assert sorted(r.k for r in read_jdbc(spark, spec, {}).collect()) == sorted(r.k for r in whole.collect()) == [*range(20), 99]
+    query = spec.but(source=SourceSpec("jdbc", options={"url": url, "query": 'SELECT "k" FROM days WHERE "k" < 3'}))
+    assert sorted(r.k for r in read_jdbc(spark, query, {}).collect()) == [0, 1, 2]
+
+
 @pytest.mark.parametrize("url, inside", [("jdbc:derby:memory:x;create=true", True), ("jdbc:derby:/a/b", True), ("jdbc:derby://host:1527/b", False), ("jdbc:h2:mem:x", True), ("jdbc:h2:tcp://host/x", False), ("jdbc:hsqldb:file:x", True), ("jdbc:hsqldb:hsql://host/x", False), ("jdbc:sqlite:x", True), ("jdbc:postgresql://host/x", False)])
 def test_urls_without_a_host(url, inside):
     class Context:
