@@ -78,6 +78,8 @@ def test_null_keys_are_equal_and_found_by_index(spark, url, load):
     assert set(got) == want and len(got) == len(want)
     gone = [x for x in sink.statements("x_t", "x_t_stage", ["a", "b", "t", "v"], spec.but(load="DELTA_UPSERT")) if x.startswith("DELETE")]
     assert len(gone) == 4 and not any(" OR " in x for x in gone)
+    some = [x for x in sink.statements("x_t", "x_t_stage", ["a"], spec.but(load="DELTA_UPSERT", merge_key=tuple("abcdefghij")), ["c"]) if x.startswith("DELETE")]
+    assert len(some) == 2 and "IS NULL" not in some[0] and 's."c" IS NULL' in some[1]
 
 
 @pytest.mark.parametrize("java8", ["false", "true"])
